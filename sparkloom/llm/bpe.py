@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 #: White space as the vocabulary's normaliser has it (the Unicode property White_Space).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White-space separated chunks kept with their ids in a Python worker; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+#: Words kept with their ids in a Python worker; beyond it the table starts anew.
+CACHE_WORDS = 600_000
 #: Rows turned into ids at once.
 _ROWS = 512
 
@@ -107,38 +107,32 @@ class Encoder:
     def __init__(self, v: Vocabulary):
         self.v, self.cache = v, {}
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-        self.space, self.odd = regex.compile(f"[{_SPACE}]+"), regex.compile(r"[\x1c-\x1f]")  # str.split also cuts at the latter
         self.special = regex.compile("|".join(map(regex.escape, sorted(v.special, key=len, reverse=True)))) if v.special else None
 
-    def chunks(self, text: str) -> list[str]:
-        """A text between special tokens, normalised and cut at white space; no word crosses that. A final sigma is lowered like any other."""
+    def words(self, text: str) -> list[str]:
+        """Of a text between special tokens. White space only separates; a final sigma is lowered like any other."""
         text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        return text.split() if self.odd.search(text) is None else self.space.split(text)
+        return self.word.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         rows = []
         for t in texts:
             if self.special is None or not self.special.search(t):
-                rows.append(self.chunks(t))
+                rows.append(self.words(t))
                 continue
             row, at = [], 0
             for m in self.special.finditer(t):
-                row += [*self.chunks(t[at : m.start()]), self.v.special[m.group()]]
+                row += [*self.words(t[at : m.start()]), self.v.special[m.group()]]
                 at = m.end()
-            rows.append(row + self.chunks(t[at:]))
+            rows.append(row + self.words(t[at:]))
         met = set().union(*rows)
         if len(self.cache) + len(met) > CACHE_WORDS:
             self.cache.clear()
         new = [w for w in met if w not in self.cache]
         self.cache.update((w, np.int32(w).tobytes()) for w in new if not isinstance(w, str))
-        parts = {w: self.word.findall(w) for w in new if isinstance(w, str)}
-        words = list(set().union(*parts.values()))
-        if words:
-            ids = dict(zip(words, merge_words(self.v, [w.encode() for w in words]), strict=True))
-            self.cache.update((w, b"".join(map(ids.__getitem__, x))) for w, x in parts.items())
-        else:
-            self.cache.update((w, b"") for w in parts)
+        plain = [w for w in new if isinstance(w, str)]
+        if plain:
+            self.cache.update(zip(plain, merge_words(self.v, [w.encode() for w in plain]), strict=True))
         return [np.frombuffer(b"".join(map(self.cache.__getitem__, r)), np.int32) for r in rows]
 
     def decode(self, ids: np.ndarray) -> str:
