@@ -1,0 +1,9 @@
+"""The registered queries of this subpackage and, where SQL can express one, its SQL for DuckDB."""
+
+from .bpe import op9_bpe
+from .substring_dedup import op8_substring_dedup
+from .warc import op10_warc
+
+QUERIES = {f.__name__: f for f in (op8_substring_dedup, op9_bpe, op10_warc)}
+
+SQL: dict[str, str] = {}
