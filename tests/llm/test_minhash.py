@@ -1,0 +1,61 @@
+import random
+import re
+
+import pytest
+
+from sparkloom.llm.components import components
+from sparkloom.llm.minhash import link
+
+
+def brute(rows, words=5, percent=75):
+    sets = []
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (d, _) in enumerate(rows):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n and 100 * n >= percent * len(sets[i] | sets[j]) and None not in (d, rows[j][0]):
+                a, b = sorted((find(d), find(rows[j][0])))
+                root[b] = a
+    return sorted(((d, len(s), find(d) if d is not None else None) for (d, _), s in zip(rows, sets)), key=str)
+
+
+def run(spark, rows):
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, bucket int")
+    got = link(df).collect()
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
+def test_against_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for g in range(12):
+        base = [f"{g}w{rng.randrange(400)}" for _ in range(rng.choice([6, 30, 200]))]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randrange(1 + len(w) // 25)):
+                w[rng.randrange(len(w))] = rng.choice(["x", "y", "É"])
+            rows.append((len(rows) * 3 % 1009, " ".join(w).upper() if rng.random() < 0.3 else "  ".join(w)))
+    rows += [(2000, None), (2001, ""), (2002, "a b"), (2003, "A\tB"), (2004, "a b c"), (None, "a b"), (2005, " \n"), (2006, "É b"), (2007, "é b")]
+    run(spark, rows + rows[:3])
+
+
+def test_empty(spark):
+    run(spark, [])
+
+
+@pytest.mark.parametrize("n", [40])
+def test_components_of_a_path(spark, n):
+    ids = list(range(n))
+    random.Random(2).shuffle(ids)
+    df = spark.createDataFrame(list(zip(ids, ids[1:])) + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.id: r.component for r in components(df).collect()}
+    assert got == {i: 0 for i in ids} | {100: 100, 101: 100}
