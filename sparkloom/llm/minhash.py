@@ -8,14 +8,15 @@ Plan.
 2. In each bucket of a band, members are compared with the bucket's smallest id only (a star).
    Pairs whose sizes or sketches rule the threshold out go; the others are decided on full sets.
 3. Only buckets in which the links found so far leave several components are looked at again: members outside
-   the component of the bucket's smallest id against the bucket's members in other components, after the
-   same sifting. So a bucket of thousands of copies costs thousands of comparisons, and no link that would
-   join two components is lost.
+   the component of the bucket's smallest id against the bucket's members in other components, sifted by
+   longer sketches (FINE) that only these documents get. A pair is taken up in the first bucket that it
+   shares. So a bucket of thousands of copies costs thousands of comparisons, and no link that would join
+   two components is lost.
 4. Components of the links give each document the smallest id that it can reach.
 
 A pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands: at 0.75, with 50 bands of 5
-rows, all but 1 in 700,000. The sift admits what the sketch puts at `slack` below the threshold, seven
-standard deviations with 250 samples.
+rows, all but 1 in 700,000. Sifts admit what a sketch puts up to `slack` below the threshold: SLACK is over four
+standard deviations of either sketch.
 
 Defined cases: a text without words, or a null one, has an empty set and is linked with nothing; one with
 fewer words than a shingle has its whole sequence as its only shingle; repeated rows are copies of each
@@ -36,6 +37,10 @@ from .components import components
 from .shared import materialize, mix, powers, span_hashes, steps, utf8, window_hashes, word_bounds
 
 BANDS, ROWS, BITS = 50, 5, 1024
+#: Bands, rows and bits of the longer sketch, of which only samples and sketch are used.
+FINE = (200, 5, 4096)
+#: For the first sketch and the longer one.
+SLACK = (0.2, 0.07)
 #: Members of a star that one task compares with their centre before the next portion starts.
 PORTION = 64
 _BLOCK = 2048
@@ -137,32 +142,49 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with one of the ids. The ids are a written table: where it is small, Spark broadcasts it and moves no other text."""
+    return docs.join(materialize(ids.distinct(), "ids").withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets reach the threshold. A centre's text goes once to each portion of its members."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = pairs.join(sizes, "a").withColumn("portion", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PORTION)))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))).select(F.col("doc_id").alias("id"), "text")
     wanted = dealt.select("a", "portion", F.lit(1).alias("member"), F.col("b").alias("id"))
     wanted = wanted.union(dealt.select("a", "portion", F.lit(0).alias("member"), F.col("a").alias("id")).distinct())
     rows = wanted.join(texts, "id").select("a", "portion", "member", "id", "text")
     return rows.repartition("a", "portion").sortWithinPartitions("a", "portion", "member").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
 
 
-def _sift(pairs: DataFrame, percent: int, slack: float, samples: int) -> DataFrame:
-    """Drops pairs that sizes exclude for certain, or odd sketches put far below the threshold. pairs has n and sketch of both sides."""
+def _fine(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(*FINE)
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for a, b in steps(offsets):
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(sampler.sketches(sampler.samples(sets)))], names=["doc_id", "fine"])
+
+    return run
+
+
+def _sift(pairs: DataFrame, percent: int, slack: float, samples: int, bits: int) -> DataFrame:
+    """Drops pairs that sizes exclude for certain, or odd sketches put more than slack below the threshold. pairs has n and sketch of both sides."""
     differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # u flips leave bits/2 * (1 - exp(-2u/bits)) bits set; two samples that differ are two flips
     apart = 2 * samples * (1 - percent / 100 + slack)
-    most = BITS / 2 * (1 - 2.718281828459045 ** (-2 * apart / BITS))
+    most = bits / 2 * (1 - 2.718281828459045 ** (-2 * apart / bits))
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     return pairs.filter(sizes).filter(differ <= most)
 
 
 def _of(profiles: DataFrame, side: str) -> DataFrame:
-    return profiles.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    return profiles.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"), F.col("bands").alias(f"bands_{side}"))
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 75, slack: float = 0.2) -> DataFrame:
+def link(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept (it is its component's smallest id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = materialize(docs.mapInArrow(_profiles(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"), "profiles")
@@ -174,18 +196,20 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, slack: float = 0.2)
     stars = keyed.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("other")).filter("a <> other").drop("other")
     members = materialize(keyed.join(stars, "bucket").select("bucket", "a", F.col("doc_id").alias("b")), "members")
     pairs = members.filter("a <> b").select("a", "b").distinct()
-    sifted = _sift(pairs.join(_of(reps, "a"), "a").join(_of(reps, "b"), "b"), percent, slack, BANDS * ROWS).select("a", "b").distinct()
-    links = materialize(_verified(sifted, docs, words, percent), "links")
+    sifted = _sift(pairs.join(_of(reps, "a"), "a").join(_of(reps, "b"), "b"), percent, SLACK[0], BANDS * ROWS, BITS).select("a", "b").distinct()
+    links = materialize(_verified(materialize(sifted, "pairs"), docs, words, percent), "links")
 
     found = components(links)
     placed = members.join(found.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
     placed = materialize(placed.join(mixed, "bucket", "left_semi"), "mixed")
+    long = _texts(docs, placed.select(F.col("b").alias("id"))).select("doc_id", "text").mapInArrow(_fine(words), "doc_id long, fine array<long>")
+    long = materialize(reps.join(long, "doc_id").select("doc_id", "n_shingles", "bands", F.col("fine").alias("sketch")), "long")
     home = placed.filter("a = b").select("bucket", F.col("component").alias("home")).distinct()
-    strays = placed.join(home, "bucket").filter("component <> home").select("bucket", "b", "component").join(_of(reps, "b"), "b")
-    others = placed.filter("a <> b").select("bucket", F.col("b").alias("a"), F.col("component").alias("component_a")).join(_of(reps, "a"), "a")
-    rest = strays.join(others, "bucket").filter("component <> component_a")
-    rest = _sift(rest, percent, slack, BANDS * ROWS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    strays = placed.join(home, "bucket").filter("component <> home").select("bucket", "b", "component").join(_of(long, "b"), "b")
+    others = placed.filter("a <> b").select("bucket", F.col("b").alias("a"), F.col("component").alias("component_a")).join(_of(long, "a"), "a")
+    rest = _sift(strays.join(others, "bucket").filter("component <> component_a"), percent, SLACK[1], FINE[0] * FINE[1], FINE[2])
+    rest = rest.filter(F.col("bucket") == F.element_at(F.array_intersect("bands_a", "bands_b"), 1)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _verified(materialize(rest, "rest"), docs, words, percent)
 
     twice = profiles.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("doc_id")
