@@ -1,0 +1,44 @@
+import random
+
+import numpy as np
+
+from sparkloom.llm import quality
+
+
+def rows(n, seed):
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        w, g = [f"w{rng.randrange(800)}" for _ in range(rng.randrange(8, 120))], rng.randrange(3)
+        if g == 0:
+            for _ in range(1 + len(w) // 8):
+                w.insert(rng.randrange(len(w)), rng.choice(["awful", "Nasty.", "vile,"]))
+        if g == 1:
+            w = [x.upper() + "!!" for x in w] if rng.random() < 0.5 else [w[0]] * len(w)
+        out.append((i, " ".join(w), g))
+    return out
+
+
+def test_held_out(spark):
+    df = spark.createDataFrame(rows(900, 1), "doc_id long, text string, y int")
+    labels = df.filter("doc_id % 3 > 0").selectExpr("doc_id", "int(y > 1) quality", "int(y = 0) toxic")
+    model = quality.learn(df, quality.graded(labels))
+    assert (np.diff(model.thresholds) >= 0).all()
+    got = quality.grade(df, model).filter("doc_id % 3 = 0").collect()
+    assert np.mean([(r.top_probability >= 0.5) == (r.y == 2) for r in got]) > 0.95
+    mean = [np.mean([r.expected_grade for r in got if r.y == g]) for g in range(3)]
+    assert mean == sorted(mean) and 0 <= mean[0] < 0.6 and mean[2] > 1.5
+
+
+def test_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, 0), (2, "", 1), (2, "", 1), (None, "x", 2), (3, "!! ??", 0), (4, "a" * 100_000, 1), (5, "x " * 300_000, 0)], "doc_id long, text string, expected_grade int")
+    none = quality.learn(df, quality.graded(spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert [r.top_probability > 0.99 for r in quality.grade(df, none).collect()] == [True] * 7
+    labels = spark.createDataFrame([(2, 1, 0), (2, 0, 1), (3, None, None), (None, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in quality.graded(labels).orderBy("doc_id").collect()] == [(2, 0), (9, 2)]
+    assert quality.grade(df, quality.learn(df, quality.graded(labels))).count() == 7 and quality.grade(df.limit(0), none).count() == 0
+
+
+def test_features():
+    text = "Moron, moron! x".encode()
+    at, v = quality.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    assert abs((v * v).sum() - 1) < 1e-9 and len(at) == 2 + 3 + 3 + 2
