@@ -23,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, span_hashes, steps, utf8, word_bounds
+from .shared import mix, span_hashes, steps, trimmed, utf8, word_bounds
 
 BUCKETS = 1 << 16
-PER_GRADE = 2500
-RATE, L1, PASSES = 0.3, 2e-5, 12
+PER_GRADE = 4000
+RATE, L1, PASSES = 0.3, 1e-4, 25
+#: Buckets in fewer of the sample's documents get no weight: rare words say nothing about other texts.
+LEAST_DOCUMENTS = 12
+#: Least probability of the top grade for a document to be kept.
+CUTOFF = 0.6
 #: Ratings are graded 0 (toxic), 1 (of low quality), 2 (good).
 GRADES = 3
 
-_LETTER = np.ones(256, bool)  # bytes of words: not ASCII punctuation
-_LETTER[[b for b in range(33, 127) if not chr(b).isalnum()]] = False
 #: Classes of bytes for shapes: upper, lower or beyond ASCII, digit, and each punctuation mark for itself.
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 65, 97, 97, 48
@@ -42,13 +44,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     """Of each row: buckets and values of its hashed features, of length 1 together."""
     starts, ends, first = word_bounds(data, offsets)
     n = len(starts)
-    letter = _LETTER[data]
-    # the word without ASCII punctuation at its ends, and the punctuation behind it
-    at = np.flatnonzero(letter)
-    lo = np.minimum(at[np.minimum(np.searchsorted(at, starts), max(len(at) - 1, 0))], ends) if len(at) else ends.copy()
-    lo = np.where((lo < starts) | (lo > ends), ends, lo)
-    hi = at[np.maximum(np.searchsorted(at, ends) - 1, 0)] + 1 if len(at) else lo.copy()
-    hi = np.where((hi > lo) & (hi <= ends), hi, lo)
+    lo, hi = trimmed(data, starts, ends)
     words = span_hashes(data, lo, hi, fold=True)
     # a shape is the word's classes of bytes without runs
     kind = _CLASS[data]
@@ -89,14 +85,17 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
-    """rows: buckets, values, grade. Grades weigh alike, whatever their numbers."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], sizes: dict[int, int] | None = None) -> Model:
+    """rows: buckets, values, grade. sizes: how many documents have each grade outside the sample, by which grades weigh."""
     w, gw = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
     theta, gt = np.linspace(-1, 1, GRADES - 1), np.full(GRADES - 1, 1e-6)
     if not rows:
         return Model(w, np.full(GRADES - 1, -30.0))
     size = np.bincount([r[2] for r in rows], minlength=GRADES)
-    weigh = len(rows) / np.maximum(size, 1) / max((size > 0).sum(), 1)
+    whole = np.array([(sizes or {}).get(g, size[g]) for g in range(GRADES)])
+    weigh = whole / whole.sum() * len(rows) / np.maximum(size, 1)
+    common = np.bincount(np.concatenate([at for at, _, _ in rows]), minlength=BUCKETS) >= min(LEAST_DOCUMENTS, len(rows) // 100 + 1)
+    rows = [(at[common[at]], v[common[at]], y) for at, v, y in rows]
     order = np.random.default_rng(11)
     for _ in range(PASSES):
         for i in order.permutation(len(rows)):
@@ -146,7 +145,7 @@ def learn(docs: DataFrame, ratings: DataFrame) -> Model:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(drawn), "doc_id")  # about GRADES * PER_GRADE ids at most
     sample = rows.select(F.xxhash64("doc_id", "text").alias("key"), F.col("grade").cast("long").alias("y"), "text").mapInArrow(_prepare, "key long, y long, at array<int>, v array<float>").toArrow().sort_by("key")
     at, v, y = sample.column("at").combine_chunks(), sample.column("v").combine_chunks(), sample.column("y").to_pylist()
-    return fit([(at[i].values.to_numpy().astype(np.int64), v[i].values.to_numpy().astype(float), y[i]) for i in range(len(y))])
+    return fit([(at[i].values.to_numpy().astype(np.int64), v[i].values.to_numpy().astype(float), y[i]) for i in range(len(y))], sizes)
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -169,4 +168,4 @@ def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = learn(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return grade(docs, model).select("doc_id", "expected_grade", "top_probability", (F.col("top_probability") >= 0.5).alias("selected"))
+    return grade(docs, model).select("doc_id", "expected_grade", "top_probability", (F.col("top_probability") >= CUTOFF).alias("selected"))

@@ -100,6 +100,21 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_LETTER = np.ones(256, bool)  # bytes of words: all but ASCII punctuation
+_LETTER[[b for b in range(33, 127) if not chr(b).isalnum()]] = False
+
+
+def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words without ASCII punctuation at their ends; a word of punctuation alone is empty, at its end."""
+    at = np.flatnonzero(_LETTER[data])
+    if not len(at):
+        return ends.copy(), ends.copy()
+    lo = at[np.minimum(np.searchsorted(at, starts), len(at) - 1)]
+    lo = np.where((lo < starts) | (lo > ends), ends, lo)
+    hi = at[np.maximum(np.searchsorted(at, ends) - 1, 0)] + 1
+    return lo, np.where((hi > lo) & (hi <= ends), hi, lo)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
     """A 64-bit hash of each span of bytes; fold: A-Z count as a-z."""
     n = len(data)

@@ -1,0 +1,43 @@
+import re
+
+import pyarrow.parquet as pq
+
+from sparkloom.llm.html_text import extract, main_text
+
+ARTICLE = "<h1>A &amp; B</h1><p>One,\n  two. <b>Three</b><br>four.<p>Five &lt;six&gt; &#233;&nbsp;x.</p><ul><li>item one, here<li>item two</ul>"
+WANT = "A & B\nOne, two. Three four.\nFive <six> é x.\nitem one, here\nitem two"
+
+
+def test_parts_left_out():
+    around = [
+        "<nav><ul><li><a href='/x'>Menu</a></ul></nav>", "<header><h2>Site</h2></header>", "<footer>&copy; all, rights.</footer>", "<aside>Side text, long enough. Really long, to be sure.</aside>",
+        '<div class="cookie-notice">We use cookies, do you agree?</div>', '<div class="ad">Buy this, buy that. Buy it all, now, today.</div>', "<form>Search <input name=q><button>Go</button></form>",
+        "<script>var a = '<p>no</p>';</script>", "<style>p{}</style>", "<!-- <p>comment</p> -->", '<section id="comments"><p>First! I agree, really, with everything.</p></section>', "<div hidden>Hidden.</div>",
+    ]
+    for tag in ("article", "main", "div class='post-body'"):
+        page = "<html><head><title>T</title></head><body>" + "".join(around) + f"<{tag}>{ARTICLE}{around[-2]}</{tag.split()[0]}>" + "".join(around) + "</body></html>"
+        assert main_text(page) == WANT, tag
+
+
+def test_odd_pages():
+    assert main_text("") == "" and main_text("plain text,  here.") == "plain text, here."
+    assert main_text("<article><p>1 < 2, and 3 > 2.</p></article>") == "1 < 2, and 3 > 2."
+    assert main_text("</div></p><p>x.</p></b>") == "x."
+    assert len(main_text("<article>" + "<p>word, word.</p>" * 20_000 + "</article>")) == 20_000 * 12 - 1
+    assert main_text("<nav>only a menu</nav>") == ""
+
+
+def test_given_pages():
+    t = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pydict()
+    for page in t["html"]:
+        article = re.search("<article>(.*)</article>", page, re.S)[1]
+        want = [" ".join(re.sub("<[^>]*>", " ", x).split()) for x in re.split("</?(?:p|h1)>", article)]
+        import html
+
+        assert main_text(page) == "\n".join(html.unescape(x) for x in want if x)
+
+
+def test_frame(spark):
+    df = spark.createDataFrame([(1, "u", None), (2, None, "<p>a</p>"), (2, None, "<p>a</p>"), (None, "v", "")], "page_id long, url string, html string")
+    assert sorted(r.text for r in extract(df).collect()) == ["", "", "a", "a"]
+    assert extract(df.limit(0)).count() == 0
