@@ -1,7 +1,59 @@
-"""placeholder"""
-STAGES = []
+"""From documents to token ids: quality, near duplicates, benchmark leaks, secrets, byte pairs.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept. All stages
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import bpe, decontaminate, minhash, quality, secrets
+from sparkloom.llm.shared import materialize
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the top grade reaches the cutoff; the model is learned from the rated ones among docs."""
+    ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.grade(docs, quality.learn(docs, ratings)).filter(F.col("top_probability") >= quality.CUTOFF).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id; of rows of one id, one."""
+    removed = materialize(minhash.link(docs).filter("not kept").select("doc_id").distinct(), "removed")
+    kept = docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+
+
+def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("not contaminated").select(*docs.columns)
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced."""
+    return secrets.redact(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with n_tokens and ids."""
+    return bpe.encode(docs, VOCABULARY, decoded=False)
+
+
+STAGES = [("quality", good_quality), ("near_duplicates", one_of_each), ("decontamination", no_leaks), ("secrets", no_secrets), ("tokens", token_ids)]
+
+#: A fitted model decides in the first stage, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
