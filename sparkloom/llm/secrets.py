@@ -108,8 +108,12 @@ def _line(findings) -> F.Column:
     return F.concat_ws(",", F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
+def _is(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
     found, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), path="doc_id")
     base = F.filter("findings", lambda x: x["rank"] < len(BASE))
-    counts = [F.size(F.filter("findings", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter("findings", _is(k))).cast("bigint").alias(f"n_{k}") for k in BASE]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line(F.col("findings")).alias("spans"))

@@ -20,6 +20,8 @@ def oracle(sql):
 def test_like_sql(spark, name):
     got = queries.QUERIES[name](spark, DIR)
     columns, want = oracle(queries.SQL[name])
+    if name == "op5_secrets":
+        assert any(sum(r[1:4]) for r in want)  # the comparison below sees findings of every base kind
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want)) and sorted(columns) == sorted(got.columns)
 
 
