@@ -8,20 +8,21 @@ from sparkloom.llm import queries
 DIR = "/root/testdata/sf0.001"
 
 
-def oracle(sql):
+def oracle(sql, where):
     c = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "labels"):
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{where}/{t}.parquet')")
     r = c.sql(sql)
     return r.columns, r.fetchall()
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_like_sql(spark, name):
-    got = queries.QUERIES[name](spark, DIR)
-    columns, want = oracle(queries.SQL[name])
+    where = "/root/testdata/sf0.01" if name == "op5_secrets" else DIR  # the smallest has no secrets
+    got = queries.QUERIES[name](spark, where)
+    columns, want = oracle(queries.SQL[name], where)
     if name == "op5_secrets":
-        assert any(sum(r[1:4]) for r in want)  # the comparison below sees findings of every base kind
+        assert any(sum(r[1:4]) for r in want)
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want)) and sorted(columns) == sorted(got.columns)
 
 
