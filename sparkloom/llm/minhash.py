@@ -152,7 +152,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PORTION)).alias("portion"))
     dealt = materialize(dealt, "portions")  # read twice below
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id"))).select(F.col("doc_id").alias("id"), "text")
+    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))).select(F.col("doc_id").alias("id"), "text")
     wanted = dealt.select("a", "portion", F.lit(1).alias("member"), F.col("b").alias("id"))
     wanted = wanted.union(dealt.select("a", "portion", F.lit(0).alias("member"), F.col("a").alias("id")).distinct())
     rows = wanted.join(texts, "id").select("a", "portion", "member", "id", "text")
