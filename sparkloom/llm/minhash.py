@@ -38,9 +38,9 @@ from .shared import materialize, mix, powers, span_hashes, steps, utf8, window_h
 
 BANDS, ROWS, BITS = 50, 5, 1024
 #: Bands, rows and bits of the longer sketch, of which only samples and sketch are used.
-FINE = (200, 5, 4096)
+FINE = (400, 5, 8192)
 #: For the first sketch and the longer one.
-SLACK = (0.2, 0.07)
+SLACK = (0.2, 0.05)
 #: Members of a star that one task compares with their centre before the next portion starts.
 PORTION = 64
 _BLOCK = 2048
