@@ -190,7 +190,6 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = materialize(docs.mapInArrow(_profiles(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"), "profiles")
     classes = profiles.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    classes = materialize(classes, "classes")  # a plain scan, so that Spark can split the joins below on a large class
     reps = profiles.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").select("doc_id", "n_shingles", "bands", "sketch")
     reps = materialize(reps.dropDuplicates(["doc_id", "n_shingles"]), "representatives")
 
