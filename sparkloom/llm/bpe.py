@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 #: White space as the vocabulary's normaliser has it (the Unicode property White_Space).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words kept with their ids in a Python worker; beyond it the table starts anew.
-CACHE_WORDS = 600_000
+#: Words kept with their ids by a task, about 400 bytes each; beyond it the table starts anew.
+CACHE_WORDS = 150_000
 #: Rows turned into ids at once.
 _ROWS = 512
 
