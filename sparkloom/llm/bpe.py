@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import bound_batches
+
 #: White space as the vocabulary's normaliser has it (the Unicode property White_Space).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept with their ids by a task, about 400 bytes each; beyond it the table starts anew.
@@ -142,6 +144,7 @@ class Encoder:
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", decoded: bool = True, drop: tuple[str, ...] = ()) -> DataFrame:
     """The columns of docs without `drop`, then n_tokens, ids (array<int>) and, if asked for, the decoded text."""
+    bound_batches(docs.sparkSession)
     v = Vocabulary(vocabulary)
     keep = [c for c in docs.columns if c not in {*drop, "n_tokens", "ids", "decoded"}]
     plain = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("__text"))

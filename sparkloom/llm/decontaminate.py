@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, span_hashes, steps, trimmed, utf8, word_bounds
+from .shared import bound_batches, mix, span_hashes, steps, trimmed, utf8, word_bounds
 
 BUCKETS = 1 << 17
 RANK, POWER = 192, 2
@@ -230,6 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop:
 
     benchmark has item_id and text, and may have answer.
     """
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in {*drop, "contaminated", "item_ids", "overlap"}]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")

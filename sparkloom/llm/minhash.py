@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, mix, powers, span_hashes, steps, utf8, window_hashes, word_bounds
+from .shared import bound_batches, materialize, mix, powers, span_hashes, steps, utf8, window_hashes, word_bounds
 
 BANDS, ROWS, BITS = 50, 5, 1024
 #: Bands, rows and bits of the longer sketch, of which only samples and sketch are used.
@@ -187,6 +187,7 @@ def _of(profiles: DataFrame, side: str) -> DataFrame:
 
 def link(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept (it is its component's smallest id)."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = materialize(docs.mapInArrow(_profiles(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"), "profiles")
     classes = profiles.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")).filter("rep is not null")

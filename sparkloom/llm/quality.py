@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, span_hashes, steps, trimmed, utf8, word_bounds
+from .shared import bound_batches, mix, span_hashes, steps, trimmed, utf8, word_bounds
 
 BUCKETS = 1 << 16
 PER_GRADE = 4000
@@ -137,6 +137,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, ratings: DataFrame) -> Model:
     """Fits a model to docs(doc_id, text) with ratings(doc_id, grade)."""
+    bound_batches(docs.sparkSession)
     sizes = {r.grade: r.n for r in ratings.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for g, n in sizes.items():
@@ -150,6 +151,7 @@ def learn(docs: DataFrame, ratings: DataFrame) -> Model:
 
 def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of docs, then expected_grade (0 to 2) and top_probability (of the top grade)."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("expected_grade", "top_probability")]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("__text"))
 

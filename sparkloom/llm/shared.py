@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text handed to one numpy step, in bytes: keeps temporary arrays within a few dozen MB. A longer document is a step of its own.
 STEP_BYTES = 1 << 20
 
+#: Rows that Spark hands to a Python worker at once, in bytes. Spark's own bound of 64 MB is held several times
+#: over, by the JVM and by the worker, for each core.
+BATCH_BYTES = 4 << 20
+
 _FOLDERS: dict[str, str] = {}
 
 
@@ -31,6 +35,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on Arrow batches to BATCH_BYTES where it has none of its own. A longer row is a batch by itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
