@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over the whole corpus, as one array per task summed by bucket.
-2. A randomised SVD of the benchmark's TF-IDF passages, in blocks of bounded size: Spark multiplies the
+2. A randomised SVD of the benchmark's TF-IDF passages, in blocks of about BLOCK_ITEMS: Spark multiplies the
    passages' matrix and its transpose with a narrow random matrix, POWER times, summing by bucket; the
-   driver orthonormalises, each time, a matrix of the block's buckets by RANK.
-3. One pass over the documents per block: windows of WIDTH words, STRIDE apart, are projected into the block's
+   driver orthonormalises, each time, a matrix of the block's buckets by its rank. A block's rank is the number
+   of its passages, so that its latent space holds every one of them whole.
+3. One pass over the documents per PASS_BLOCKS blocks: windows of WIDTH words, STRIDE apart, are projected into the block's
    latent space and compared with its passages by cosine. By Cauchy-Schwarz a window whose share of weight on
    the block's words is below COSINE squared cannot reach COSINE; it is left out before it is projected.
 4. A candidate is decided on the words around the window: their longest common subsequence with the passage
@@ -12,7 +13,7 @@
    heaviest words) for at least half.
 
 Documents are never shuffled: blocks are applied one after the other to rows that flow through. What goes to
-the executors is one block at a time, whose size is bounded by BLOCK_ITEMS and BLOCK_BYTES.
+the executors is PASS_BLOCKS blocks at a time, whose size is bounded by BLOCK_ITEMS and BLOCK_BYTES.
 
 Defined cases: a null or empty text is clean; passages without words are never found; an empty benchmark
 leaves every document clean; repeated rows are judged each; repeated passages are all listed; other columns pass.
@@ -28,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, mix, span_hashes, steps, trimmed, utf8, word_bounds
+from .shared import bound_batches, materialize, mix, span_hashes, steps, trimmed, utf8, word_bounds
 
 BUCKETS = 1 << 17
 RANK, POWER = 192, 2
 WIDTH, STRIDE, COSINE = 32, 8, 0.35
 STRONG, WEAK, ANSWER = 0.75, 0.5, 6
-BLOCK_ITEMS, BLOCK_BYTES = 1024, 4 << 20
+BLOCK_ITEMS, BLOCK_BYTES, PASS_BLOCKS = RANK, 4 << 20, 4
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,16 +211,20 @@ def _common(mask: dict[int, int], size: int, other: list[int]) -> int:
     return size - v.bit_count()
 
 
-def _apply(docs: DataFrame, block: Block, keep: list[str]) -> DataFrame:
+def _apply(docs: DataFrame, blocks: list[Block], keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(keep)
         for batch in batches:
             data, offsets = utf8(batch.column(n))
             for a, b in steps(offsets):
                 part = batch.slice(a, b - a)
-                found = block.find(*_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                ids = [sorted([*old, *(block.ids[j] for j in new)]) for old, new in zip(part.column(n + 1).to_pylist(), found, strict=True)]
-                best = [max([old, *new.values()]) for old, new in zip(part.column(n + 2).to_pylist(), found, strict=True)]
+                words, first = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids, best = part.column(n + 1).to_pylist(), part.column(n + 2).to_pylist()
+                for block in blocks:
+                    for d, new in enumerate(block.find(words, first)):
+                        if new:
+                            ids[d] = sorted([*ids[d], *(block.ids[j] for j in new)])
+                            best[d] = max([best[d], *new.values()])
                 yield pa.RecordBatch.from_arrays([*part.columns[: n + 1], pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[*keep, "__text", "item_ids", "overlap"])
 
     return docs.mapInArrow(run, docs.schema)
@@ -234,15 +239,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop:
     keep = [c for c in docs.columns if c not in {*drop, "contaminated", "item_ids", "overlap"}]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text"), answer.alias("answer")).filter("text is not null and item is not null")
+    items = benchmark.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text"), answer.alias("answer")).filter("text is not null and item is not null")
+    items = materialize(items, "passages")  # fixes the rows' numbers, by which they are dealt
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     blocks = max(-(-size.n // BLOCK_ITEMS), -(-(size.bytes or 0) // BLOCK_BYTES))
     if blocks and idf is None:
         idf = inverse_frequencies(docs, text)
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        buckets, basis = latent_space(_matrix(part, idf))
-        rows = _apply(rows, Block(sorted((tuple(r) for r in part.collect()), key=str), buckets, basis, idf), keep)  # a block, of bounded size
+    for a in range(0, blocks, PASS_BLOCKS):
+        now = []
+        for k in range(a, min(a + PASS_BLOCKS, blocks)):
+            part = items.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k).select("item", "text", "answer")
+            found = sorted((tuple(r) for r in part.collect()), key=str)  # a block, of bounded size
+            if found:
+                now.append(Block(found, *latent_space(_matrix(part, idf), rank=len(found)), idf))
+        rows = _apply(rows, now, keep)
     return rows.select(*(F.col(f"`{c}`") for c in keep), (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap")
 
 

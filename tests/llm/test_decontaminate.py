@@ -36,6 +36,17 @@ def test_planted(spark, monkeypatch):
         assert {r.doc_id: r.item_ids for r in got} == want and all(r.contaminated == bool(r.item_ids) for r in got)
 
 
+def test_many_passages(spark):
+    """1,200 passages of words that hardly any two share: no space of few dimensions holds them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(rng.randrange(16, 60)))) for i in range(1200)]
+    docs = [(i, " ".join([*(word() for _ in range(rng.randrange(60))), items[i][1], *(word() for _ in range(rng.randrange(60)))])) for i in range(1200)]
+    docs += [(-1 - i, " ".join(word() for _ in range(150))) for i in range(200)]
+    got = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_ids for r in got} == {d: [d] if d >= 0 else [] for d, _ in docs}
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "..."), (3, "a b"), (3, "a b"), (4, "x y z " * 100_000)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "one two three four"), (1, "a b")], "item_id long, text string")
