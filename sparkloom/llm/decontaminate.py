@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over the whole corpus, as one array per task summed by bucket.
-2. A randomised SVD of the benchmark's TF-IDF passages, in blocks of about BLOCK_ITEMS: Spark multiplies the
-   passages' matrix and its transpose with a narrow random matrix, POWER times, summing by bucket; the
-   driver orthonormalises, each time, a matrix of the block's buckets by its rank. A block's rank is the number
-   of its passages, so that its latent space holds every one of them whole.
+2. Passages longer than PIECE words are cut into pieces of that length, WIDTH apart, so that any WIDTH words of
+   a passage lie in one piece whole. A randomised SVD of the pieces' TF-IDF, in blocks of about BLOCK_ITEMS:
+   Spark multiplies the pieces' matrix and its transpose with a narrow random matrix, POWER times, summing by
+   bucket; the driver orthonormalises, each time, a matrix of the block's buckets by its rank. A block's rank is
+   the number of its pieces, so that its latent space holds every one of them whole.
 3. One pass over the documents per PASS_BLOCKS blocks: windows of WIDTH words, STRIDE apart, are projected into the block's
-   latent space and compared with its passages by cosine. By Cauchy-Schwarz a window whose share of weight on
+   latent space and compared with its pieces by cosine. By Cauchy-Schwarz a window whose share of weight on
    the block's words is below COSINE squared cannot reach COSINE; it is left out before it is projected.
-4. A candidate is decided on the words around the window: their longest common subsequence with the passage
+4. A candidate is decided on the words around the window: their longest common subsequence with the whole passage
    must cover STRONG of it, or WEAK of it together with its answer (given, or else the passage's ANSWER
    heaviest words) for at least half.
 
@@ -34,6 +35,7 @@ from .shared import bound_batches, materialize, mix, span_hashes, steps, trimmed
 BUCKETS = 1 << 17
 RANK, POWER = 192, 2
 WIDTH, STRIDE, COSINE = 32, 8, 0.35
+PIECE = 2 * WIDTH
 STRONG, WEAK, ANSWER = 0.75, 0.5, 6
 BLOCK_ITEMS, BLOCK_BYTES, PASS_BLOCKS = RANK, 4 << 20, 4
 
@@ -79,19 +81,23 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def _matrix(items: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(item, at, v): TF-IDF of each passage, of length 1."""
+    """(row, piece, at, v): TF-IDF of each piece of each passage, of length 1; none for a passage without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, v = [], []
-            for words in _of_texts(batch.column(1).to_pylist()):
-                b, n = np.unique(_bucket(words), return_counts=True)
-                x = n * idf[b]
-                at.append(b)
-                v.append(x / max(np.sqrt((x * x).sum()), 1e-9))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int64())), pa.array(v, pa.list_(pa.float64()))], names=["item", "at", "v"])
+            for item, words in zip(batch.column(0).to_pylist(), _of_texts(batch.column(1).to_pylist()), strict=True):
+                at, v = [], []
+                for a in range(0, max(len(words) - PIECE, 0) + WIDTH, WIDTH) if len(words) else ():
+                    b, n = np.unique(_bucket(words[a : a + PIECE]), return_counts=True)
+                    x = n * idf[b]
+                    at.append(b)
+                    v.append(x / max(np.sqrt((x * x).sum()), 1e-9))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(at), pa.int64()), pa.array(range(len(at)), pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(v, pa.list_(pa.float64()))],
+                    names=["row", "piece", "at", "v"],
+                )
 
-    return items.select("item", "text").mapInArrow(run, "item long, at array<long>, v array<double>")
+    return items.select("row", "text").mapInArrow(run, "row long, piece long, at array<long>, v array<double>")
 
 
 def _gaussian(buckets: np.ndarray, rank: int) -> np.ndarray:
@@ -103,7 +109,7 @@ def _gaussian(buckets: np.ndarray, rank: int) -> np.ndarray:
 
 
 def latent_space(matrix: DataFrame, rank: int = RANK, power: int = POWER) -> tuple[np.ndarray, np.ndarray]:
-    """Randomised SVD of the rows (item, at, v): (buckets that occur, ascending; their rows of an orthonormal basis of the leading right singular vectors)."""
+    """Randomised SVD of the rows (any number, at, v): (buckets that occur, ascending; their rows of an orthonormal basis of the leading right singular vectors)."""
     buckets, basis = np.zeros(0, np.int64), None
 
     def multiply(buckets, basis):
@@ -136,22 +142,23 @@ def latent_space(matrix: DataFrame, rank: int = RANK, power: int = POWER) -> tup
 
 
 class Block:
-    """What a task needs to find one block's passages: their words, answers, latent vectors; the space; the weights."""
+    """What a task needs to find one block's pieces: their passages' words and answers; their latent vectors; the space; the weights.
 
-    def __init__(self, items: list[tuple[int, str, str | None]], buckets: np.ndarray, basis: np.ndarray, idf: np.ndarray):
-        words = _of_texts([t or "" for _, t, _ in items])
-        answers = _of_texts([a or "" for _, _, a in items])
-        self.ids, self.words = [i for i, _, _ in items], words
+    pieces: (row of the passage, at, v); items: (row, item_id, text, answer).
+    """
+
+    def __init__(self, pieces: list[tuple[int, list[int], list[float]]], items: list[tuple[int, int, str, str | None]], buckets: np.ndarray, basis: np.ndarray, idf: np.ndarray):
+        words = _of_texts([t or "" for _, _, t, _ in items])
+        answers = _of_texts([a or "" for *_, a in items])
+        self.rows, self.ids, self.words = [r for r, *_ in items], [i for _, i, _, _ in items], words
         self.answers = [a if len(a) else w[np.argsort(-idf[_bucket(w)], kind="stable")[:ANSWER]] for a, w in zip(answers, words, strict=True)]
         self.idf = idf
         self.row = np.zeros(BUCKETS, np.int32)  # 0: no word of the block
         self.row[buckets] = np.arange(1, len(buckets) + 1)
         self.basis = np.vstack([np.zeros((1, basis.shape[1])), basis]).astype(np.float32)
-        self.vectors = np.zeros((len(items), basis.shape[1]), np.float32)
-        for i, w in enumerate(words):
-            b, n = np.unique(_bucket(w), return_counts=True)
-            x = n * idf[b]
-            self.vectors[i] = (x / max(np.sqrt((x * x).sum()), 1e-9)) @ self.basis[self.row[b]] if len(w) else 0
+        place = {r: j for j, r in enumerate(self.rows)}
+        self.item = np.array([place[r] for r, _, _ in pieces])
+        self.vectors = np.array([np.array(v) @ self.basis[self.row[at]] for _, at, v in pieces], np.float32)
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(start of the window, its end, passage), by word number; windows do not cross rows."""
@@ -177,8 +184,10 @@ class Block:
             inside = at < e[:, None]
             at = np.minimum(at, len(words) - 1)
             vectors = np.einsum("nw,nwk->nk", np.where(inside, weight[at], 0), self.basis[row[at]], optimize=True)
-            for i, j in zip(*np.nonzero(vectors @ self.vectors.T >= COSINE * norm[:, None]), strict=True):
-                yield int(s[i]), int(e[i]), int(j)
+            i, j = np.nonzero(vectors @ self.vectors.T >= COSINE * norm[:, None])
+            for key in np.unique(i * len(self.ids) + self.item[j]).tolist():
+                i, j = divmod(key, len(self.ids))
+                yield int(s[i]), int(e[i]), j
 
     def find(self, words: np.ndarray, first: np.ndarray) -> list[dict[int, float]]:
         """Of each row: passages found, with the share of the passage that the longest common subsequence covers."""
@@ -219,13 +228,16 @@ def _apply(docs: DataFrame, blocks: list[Block], keep: list[str]) -> DataFrame:
             for a, b in steps(offsets):
                 part = batch.slice(a, b - a)
                 words, first = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ids, best = part.column(n + 1).to_pylist(), part.column(n + 2).to_pylist()
+                ids, best, rows = (part.column(n + k).to_pylist() for k in (1, 2, 3))
                 for block in blocks:
                     for d, new in enumerate(block.find(words, first)):
-                        if new:
-                            ids[d] = sorted([*ids[d], *(block.ids[j] for j in new)])
-                            best[d] = max([best[d], *new.values()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: n + 1], pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[*keep, "__text", "item_ids", "overlap"])
+                        for j, share in new.items():
+                            best[d] = max(best[d], share)
+                            if block.rows[j] not in rows[d]:  # not yet found by another block's piece
+                                rows[d].append(block.rows[j])
+                                ids[d].append(block.ids[j])
+                arrays = [pa.array([sorted(x) for x in ids], pa.list_(pa.int64())), pa.array(best, pa.float64()), pa.array(rows, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[: n + 1], *arrays], names=[*keep, "__text", "item_ids", "overlap", "__rows"])
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -237,21 +249,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop:
     """
     bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in {*drop, "contaminated", "item_ids", "overlap"}]
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("overlap"), F.array().cast("array<long>").alias("__rows"))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.monotonically_increasing_id().alias("row"), F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text"), answer.alias("answer")).filter("text is not null and item is not null")
     items = materialize(items, "passages")  # fixes the rows' numbers, by which they are dealt
-    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    blocks = max(-(-size.n // BLOCK_ITEMS), -(-(size.bytes or 0) // BLOCK_BYTES))
-    if blocks and idf is None:
+    if idf is None and not items.isEmpty():
         idf = inverse_frequencies(docs, text)
+    pieces = materialize(_matrix(items, idf), "pieces")
+    size = pieces.agg(F.count("*").alias("n"), F.sum(F.size("at")).alias("words")).first()
+    blocks = max(-(-size.n // BLOCK_ITEMS), -(-16 * (size.words or 0) // BLOCK_BYTES))
     for a in range(0, blocks, PASS_BLOCKS):
         now = []
         for k in range(a, min(a + PASS_BLOCKS, blocks)):
-            part = items.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k).select("item", "text", "answer")
-            found = sorted((tuple(r) for r in part.collect()), key=str)  # a block, of bounded size
+            part = pieces.filter(F.pmod(F.xxhash64("row", "piece"), F.lit(blocks)) == k)
+            found = sorted(tuple(r) for r in part.select("row", "at", "v").collect())  # a block, of bounded size
             if found:
-                now.append(Block(found, *latent_space(_matrix(part, idf), rank=len(found)), idf))
+                whole = items.join(F.broadcast(part.select("row").distinct()), "row", "left_semi").select("row", "item", "text", "answer").collect()
+                now.append(Block(found, [tuple(r) for r in whole], *latent_space(part.select("row", "at", "v"), rank=len(found)), idf))
         rows = _apply(rows, now, keep)
     return rows.select(*(F.col(f"`{c}`") for c in keep), (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap")
 

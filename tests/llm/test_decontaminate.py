@@ -47,6 +47,24 @@ def test_many_passages(spark):
     assert {r.doc_id: r.item_ids for r in got} == {d: [d] if d >= 0 else [] for d, _ in docs}
 
 
+def test_long_passages(spark, monkeypatch):
+    """300 to 1,000 words, whole and with every tenth word changed; pieces of one passage in one block and in several."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([65, 300, 330, 400, 600, 800, 1000, 1000])]
+    items.append((8, items[7][1]))  # a repeated passage is listed too
+    docs = []
+    for i, text in items[:8]:
+        edited = [word() if k % 10 == 5 else w for k, w in enumerate(text.split())]
+        docs += [(10 * i + k, " ".join([*(word() for _ in range(50 + i)), *w, *(word() for _ in range(40))])) for k, w in enumerate((text.split(), edited))]
+        docs.append((10 * i + 2, " ".join(text.split()[: len(text.split()) // 3] + [word() for _ in range(100)])))  # a third is no leak
+    want = {d: ([7, 8] if d // 10 == 7 else [d // 10]) if d % 10 < 2 else [] for d, _ in docs}
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (192, 24):
+        monkeypatch.setattr(dc, "BLOCK_ITEMS", size)
+        assert {r.doc_id: r.item_ids for r in dc.find_leaks(df, bench).collect()} == want
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (None, ""), (2, "..."), (3, "a b"), (3, "a b"), (4, "x y z " * 100_000)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "one two three four"), (1, "a b")], "item_id long, text string")
