@@ -3,8 +3,12 @@
 A page is read into blocks of text, each with its path of tags from the root. Text length and punctuation are
 summed by path and divided by the path's number of blocks; both ratios are smoothed along the page, fused by
 their geometric mean, and paths under a share of the page's best value are set aside. The content node is the
-deepest element that holds most of what the remaining paths carry; its blocks are the text, in page order,
-without those in menus, headers, footers, sidebars, notices, adverts, forms and comments.
+deepest element that holds most of what the remaining paths carry, or the outermost article or main around it.
+The text is all blocks of that node and, elsewhere, those whose path passes the threshold and is not mostly
+links, in page order, without those in menus, headers, footers, sidebars, notices, adverts, forms and comments.
+
+An id is often an anchor that names its topic: on headings and paragraphs ids say nothing, elsewhere an id counts
+only if all its words name such a part or a neutral box; inside article and main a class too.
 
 Pages are independent rows: one pass, no shuffle.
 
@@ -41,29 +45,42 @@ _NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu breadcrumb breadcrumbs sidebar aside widget footer masthead cookie cookies consent"
     " notice notices disclaimer alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond reply replies pagination pager toolbar".split()
 )
+_NEUTRAL = set(
+    "area bar block body bottom box button buttons center col column container content desktop footer global group header holder icon icons id in inline inner item items left link links list lists main mobile"
+    " outer page panel position post posts primary right row section secondary site slot small social sticky text title top unit up widgets wrap wrapper form".split()
+)
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+def _names_part(value: str, strict: bool) -> bool:
+    """Does a class or id name a part that is not text? Strict: one of its names, by all of its words."""
+    if _NAMES.isdisjoint(_PART.findall(value)):
+        return False
+    return not strict or any(not _NAMES.isdisjoint(words) and _NAMES.union(_NEUTRAL).issuperset(words) for words in map(_PART.findall, value.split()))
+
+
 class _Node:
-    __slots__ = ("apart", "main", "number", "parent", "path", "tag")
+    __slots__ = ("apart", "main", "number", "parent", "path", "role", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: _Node | None, number: int):
         self.tag, self.parent, self.number = tag, parent, number
         self.main = tag in ("article", "main") or (parent is not None and parent.main)
         own = tag in _APART or (tag == "header" and not self.main)
-        name = ""
+        name, self.role = "", False
         if attributes:
             for key, *value in _NAMED.findall(attributes):
                 key, value = key.lower(), "".join(value).lower()
                 if key == "role":
                     own |= value in _ROLES
-                    self.main |= value in ("main", "article")
+                    self.role |= value in ("main", "article")
+                    self.main |= self.role
                 elif key == "style":
                     own |= "display:none" in value.replace(" ", "")
                 elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                     own = True
                 else:
-                    own |= tag not in ("html", "body", "article", "main") and not _NAMES.isdisjoint(_PART.findall(value))
+                    named = tag not in ("html", "body", "article", "main") and not (key == "id" and (tag in _HEADINGS or tag == "p"))
+                    own |= named and _names_part(value, strict=key == "id" or self.main)
                     name += "." + value if key == "class" else ""
         self.apart = own or (parent is not None and parent.apart)
         self.path = f"{parent.path}>{tag}{name}" if parent is not None else tag
@@ -165,7 +182,19 @@ def main_text(page: str) -> str:
         holder = holder.parent
     while holder.parent is not None and (holder.tag in _HEADINGS or holder.tag in ("p", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "tbody", "table", "dl", "dd", "section", "header")):
         holder = holder.parent
-    kept = [t for t, x, inside in found if _within(x, holder.number) and (2 * linked[x.path] < length[x.path] or x.tag == "p" or x.tag in _HEADINGS)]
+    x = holder
+    while x is not None:
+        if x.tag in ("article", "main") or x.role:
+            holder = x
+        x = x.parent
+    whole = holder.tag not in ("#", "html", "body")
+    kept = []
+    for w, (t, x, _) in zip(weight, found, strict=True):
+        plain = 2 * linked[x.path] < length[x.path]
+        if whole and _within(x, holder.number):
+            kept.append(t)
+        elif plain and w or _within(x, holder.number) and (plain or x.tag == "p" or x.tag in _HEADINGS):
+            kept.append(t)
     return "\n".join(kept)
 
 

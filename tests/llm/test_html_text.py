@@ -19,6 +19,35 @@ def test_parts_left_out():
         assert main_text(page) == WANT, tag
 
 
+BODY = "<p>Many words, and more of them. So it goes, on and on.</p>" * 12
+LINES = "\n".join(["Many words, and more of them. So it goes, on and on."] * 12)
+MENU = "<div class=top><ul><li><a href=/a>Home</a><li><a href=/b>All the pages</a></ul></div>"
+
+
+def test_sibling_divs():
+    lead, tail = "<p>The lead, which is short.</p>", "<p>An end, apart from the body. It is text.</p>" * 2
+    want = "The title\nThe lead, which is short.\n" + LINES + "\nAn end, apart from the body. It is text." * 2
+    inner = f"<h1>The title</h1><div class=lead>{lead}</div><div class=body>{BODY}</div><div class=tail>{tail}</div>"
+    for tag in ("article", "main", "div role=main"):
+        assert main_text(f"<body>{MENU}<{tag}>{inner}</{tag.split()[0]}>{MENU}</body>") == want, tag
+    assert main_text(f"<body>{MENU}<main><article>{lead}</article><article>{BODY}</article></main></body>") == "The lead, which is short.\n" + LINES
+    # without article or main: every path over the threshold
+    assert main_text(f"<body>{MENU}<div class=page><div class=lead><p>The lead is a sentence, too.</p></div><div class=body>{BODY}</div></div>{MENU}</body>") == "The lead is a sentence, too.\n" + LINES
+
+
+def test_lists_of_links():
+    links = "<ul class=refs><li><a href=/1>First source, 1999</a><li><a href=/2>Second source, 2001</a></ul>"
+    want = LINES + "\nReferences\nFirst source, 1999\nSecond source, 2001"
+    for tag in ("article", "div class=post"):
+        assert main_text(f"<body>{MENU}<{tag}>{BODY}<h2>References</h2>{links}</{tag.split()[0]}>{MENU}</body>") == want, tag
+
+
+def test_ids_of_topics():
+    page = f"<article>{BODY}<h2 id='related-work'>Related work</h2><p id=comment-1>A remark.</p><section id='share-prices'><p>On prices, then.</p></section><div class='alert-systems'><p>On alerts.</p></div>"
+    apart = "<section id='related-posts'><p>Other posts, here.</p></section><div class='share-buttons'><p>Share it, now.</p></div></article>"
+    assert main_text(f"<body>{page}{apart}</body>") == LINES + "\nRelated work\nA remark.\nOn prices, then.\nOn alerts."
+
+
 def test_odd_pages():
     assert main_text("") == "" and main_text("plain text,  here.") == "plain text, here."
     assert main_text("<article><p>1 < 2, and 3 > 2.</p></article>") == "1 < 2, and 3 > 2."
