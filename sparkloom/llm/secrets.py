@@ -6,6 +6,9 @@ pairs that the ledger has, scans the rest, and joins findings back to every path
 A blob that a third of all paths share is one row after the map-side part of the deduplication, and the join
 back to the paths is one that Spark may split.
 
+The registered query and `redact` as the pipeline uses it keep one ledger in the shared folder: they scan what
+it lacks, append that, and read all findings from it.
+
 Positions come from one pass per rule: matches are taken with the text before them, anchored at the last
 match's end, and their lengths are summed along the blob.
 
@@ -17,9 +20,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import shared_folder
+
 #: (kind, pattern, group whose length counts, least length). The order ranks kinds that start at one place.
 #: The first three are the contract's, the others the published forms of keys that hosts hand out.
 RULES = (
@@ -31,6 +36,7 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 _FINDINGS = "array<struct<start: bigint, rank: int, end: bigint, kind: string>>"
+LEDGER = f"blob string, findings {_FINDINGS}, rule_version string"
 
 
 def rule_version(rules=RULES) -> str:
@@ -70,25 +76,62 @@ def scan(versions: DataFrame, path: str = "path", text: str = "text", ledger: Da
 
     Give the written union of old and new rows as the ledger of the next scan.
     """
-    versions = _blobs(versions.select(F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text")), "text")
-    unseen = versions.select(F.col("__blob").alias("blob"), F.col("__text").alias("text"))
+    versions = _versions(versions, path, text)
+    known, new = _unseen(versions, ledger, rules)
+    return _back(versions, new if known is None else known.unionByName(new)), new
+
+
+def _versions(versions: DataFrame, path: str, text: str) -> DataFrame:
+    return _blobs(versions.select(F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text")), "text")
+
+
+def _known(ledger: DataFrame, rules) -> DataFrame:
+    """The ledger's rows of a rule version; scans that ran at the same time may have added a blob twice."""
+    return ledger.filter(F.col("rule_version") == rule_version(rules)).select("blob", "findings", "rule_version").dropDuplicates(["blob"])
+
+
+def _unseen(keyed: DataFrame, ledger: DataFrame | None, rules) -> tuple[DataFrame | None, DataFrame]:
+    """(the ledger's rows of the rule version; the scan of the blobs that it lacks)."""
+    blobs = keyed.select(F.col("__blob").alias("blob"), F.col("__text").alias("text")).dropDuplicates(["blob"])
     known = None
     if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == rule_version(rules)).select("blob", "findings", "rule_version")
-        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
-    new = scan_blobs(unseen.dropDuplicates(["blob"]), rules)
-    every = new.select("blob", "findings", "rule_version") if known is None else known.unionByName(new)
+        known = _known(ledger, rules)
+        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
+    return known, scan_blobs(blobs, rules).select("blob", "findings", "rule_version")
+
+
+def _back(versions: DataFrame, every: DataFrame) -> DataFrame:
     back = versions.select("path", F.col("__blob").alias("blob")).join(every.select("blob", "findings"), "blob", "left")
-    return back.select("path", "blob", "findings"), new
+    return back.select("path", "blob", "findings")
+
+
+def kept_ledger(spark: SparkSession) -> DataFrame:
+    """The ledger in the shared folder; empty before the first scan."""
+    path = f"{shared_folder(spark)}/sparkloom-secrets-ledger"
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def _add(keyed: DataFrame, rules) -> DataFrame:
+    """Scans the blobs that the kept ledger lacks, appends them to it, and gives its rows of the rule version."""
+    spark = keyed.sparkSession
+    _, new = _unseen(keyed, kept_ledger(spark), rules)
+    new.write.mode("append").parquet(f"{shared_folder(spark)}/sparkloom-secrets-ledger")
+    return _known(kept_ledger(spark), rules)
+
+
+def scan_kept(versions: DataFrame, path: str = "path", text: str = "text", rules=RULES) -> DataFrame:
+    """The findings that `scan` gives, by way of the kept ledger."""
+    versions = _versions(versions, path, text)
+    return _back(versions, _add(versions, rules))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules=RULES) -> DataFrame:
-    """docs with every found span of the text replaced by the mark; where there is n_chars, it is the new length."""
+    """docs with every found span of the text replaced by the mark, by way of the kept ledger; where there is n_chars, it is the new length."""
     columns = docs.columns
     keyed = _blobs(docs, text)
     # blobs without a match are left out of the join's small side
-    new = scan_blobs(keyed.select(F.col("__blob").alias("blob"), F.col("__text").alias("text")).dropDuplicates(["blob"]), rules)
-    new = new.filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), "findings")
+    new = _add(keyed, rules).filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), "findings")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     whole = F.col("__text")
 
@@ -113,7 +156,7 @@ def _is(kind: str):
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
-    found, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), path="doc_id")
+    found = scan_kept(spark.read.parquet(f"{sf_dir}/documents.parquet"), path="doc_id")
     base = F.filter("findings", lambda x: x["rank"] < len(BASE))
     counts = [F.size(F.filter("findings", _is(k))).cast("bigint").alias(f"n_{k}") for k in BASE]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line(F.col("findings")).alias("spans"))

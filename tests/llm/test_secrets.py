@@ -54,3 +54,22 @@ def test_ledger(spark, tmp_path):
     assert more.count() == 2 and {r.path: len(r.findings) for r in found.collect()} == {"r": 1, "s": 1, None: 0}
     assert secrets.scan(b, ledger=ledger, rules=secrets.RULES[:1])[1].count() == 3
     assert secrets.scan(a.limit(0))[0].count() == 0
+
+
+def test_kept_ledger(spark, tmp_path, monkeypatch):
+    """The query and redact scan a blob once for a rule version, and find the same when nothing is left to scan."""
+    monkeypatch.setattr(secrets, "shared_folder", lambda _: str(tmp_path))
+    rows = [(1, "token=abcdefgh"), (2, "token=abcdefgh"), (None, "AKIA" + "0" * 16), (4, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    first = sorted(map(str, secrets.op5_secrets(spark, str(tmp_path)).collect()))
+    assert secrets.kept_ledger(spark).count() == 3 and len(first) == 5 and sum("n_assign=1" in r for r in first) == 2
+    assert sorted(map(str, secrets.op5_secrets(spark, str(tmp_path)).collect())) == first
+    clean = sorted((str(r.doc_id), str(r.text)) for r in secrets.redact(docs).collect())
+    assert clean == [("1", "[SECRET]"), ("2", "[SECRET]"), ("4", ""), ("4", "None"), ("None", "[SECRET]")]
+    assert secrets.kept_ledger(spark).count() == 3  # nothing was scanned again
+    secrets.redact(docs.unionByName(spark.createDataFrame([(9, "new")], "doc_id long, text string"))).count()
+    assert secrets.kept_ledger(spark).count() == 4
+    secrets.kept_ledger(spark).limit(2).write.parquet(str(tmp_path / "twice"))  # a scan at the same time
+    spark.read.parquet(str(tmp_path / "twice")).write.mode("append").parquet(str(tmp_path / "sparkloom-secrets-ledger"))
+    assert sorted(map(str, secrets.op5_secrets(spark, str(tmp_path)).collect())) == first
