@@ -42,8 +42,8 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with n_tokens and ids."""
-    return bpe.encode(docs, VOCABULARY, decoded=False)
+    """All documents with n_tokens, ids and the SHA-256 of the text that the ids decode to."""
+    return bpe.encode(docs, VOCABULARY).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [("quality", good_quality), ("near_duplicates", one_of_each), ("decontamination", no_leaks), ("secrets", no_secrets), ("tokens", token_ids)]
