@@ -2,38 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
 
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of edges: the same components as stars around their smallest ids, without repeats. Only makes later rounds fewer."""
+    for batch in batches:
+        ends = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        nodes, at = np.unique(ends, return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while True:
+            least = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, root[a], least)
+            np.minimum.at(new, root[b], least)
+            new = new[new]
+            if np.array_equal(new, root):
+                break
+            root = new
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    return materialize(edges.mapInArrow(contract, "a long, b long"), "edges")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node moves to the smallest of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "least")
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below it move to the smallest of them. Edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.union(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
+    return moved.union(least.select("a", F.col("least").alias("b"))).filter("a <> b")
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Is there a node with two parents, or a parent with a parent of its own?"""
+    none = F.lit(None).cast("long")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), none.alias("up"), F.lit(1).alias("down")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.min("e.up").alias("x"), F.max("e.up").alias("y"), F.max("e.down").alias("down"))
+    return not nodes.filter("x <> y or (x is not null and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) to (id, component): of every node that has an edge to another, the smallest id it can reach.
 
-    A round groups by node but only takes a minimum, so that a hub is summed before it is shuffled; the join
-    on a hub is left to Spark's splitting of skewed joins. Rounds grow with the logarithm of the longest path.
-    Each round is written to the shared folder. Edges with a null end, and loops, do not count; an empty table gives none.
+    Each task first turns its batches of edges into stars. A round groups by node but only takes a minimum, so that
+    a hub is summed before it is shuffled. The minima are written before they are joined: with an aggregate in the
+    join's own stage Spark could not split a hub's partition. Rounds grow with the logarithm of the longest path.
+    Each is written to the shared folder. Edges with a null end, and loops, do not count; an empty table gives none.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges, before = materialize(edges, "edges"), None
-    while True:
-        n = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if n == before or not n[0]:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        before = n
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b")
+    edges = _contracted(edges)
+    while _unsettled(edges):
+        edges = _contracted(_small_star(materialize(_large_star(edges), "stars")))
+    child, root = edges.select(F.col("a").alias("id"), F.col("b").alias("component")), edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
+    return materialize(child.union(root).distinct(), "components")

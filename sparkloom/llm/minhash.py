@@ -7,11 +7,11 @@ Plan.
    class at once, represented by the smallest id.
 2. In each bucket of a band, members are compared with the bucket's smallest id only (a star).
    Pairs whose sizes or sketches rule the threshold out go; the others are decided on full sets.
-3. Only buckets in which the links found so far leave several components are looked at again: members outside
-   the component of the bucket's smallest id against the bucket's members in other components, sifted by
-   longer sketches (FINE) that only these documents get. A pair is taken up in the first bucket that it
-   shares. So a bucket of thousands of copies costs thousands of comparisons, and no link that would join
-   two components is lost.
+3. Only documents of buckets in which the links found so far leave several components are looked at again.
+   Those in different components that share one of their rarest shingles are paired, each pair once, sifted by
+   longer sketches (FINE) that only these documents get, and decided on full sets. This search is exact (see
+   `_rare_pairs`). So a bucket of thousands of copies, or of texts that share a template but too little else, costs
+   work in proportion to its size, and no link that would join two components is lost.
 4. Components of the links give each document the smallest id that it can reach.
 
 A pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands: at 0.75, with 50 bands of 5
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -142,31 +142,25 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with one of the ids. The ids are a written table: where it is small, Spark broadcasts it and moves no other text."""
-    return docs.join(materialize(ids.distinct(), "ids").withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets reach the threshold. A centre's text goes once to each portion of its members."""
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PORTION)).alias("portion"))
-    dealt = materialize(dealt, "portions")  # read twice below
-    texts = _texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))).select(F.col("doc_id").alias("id"), "text")
-    wanted = dealt.select("a", "portion", F.lit(1).alias("member"), F.col("b").alias("id"))
-    wanted = wanted.union(dealt.select("a", "portion", F.lit(0).alias("member"), F.col("a").alias("id")).distinct())
+    """Of written pairs (a, b, portion) those whose full sets reach the threshold. A centre's text goes once to each portion of its members."""
+    wanted = pairs.select("a", "portion", F.lit(1).alias("member"), F.col("b").alias("id"))
+    wanted = wanted.union(pairs.select("a", "portion", F.lit(0).alias("member"), F.col("a").alias("id")).distinct())
+    texts = docs.filter("text is not null").select(F.col("doc_id").alias("id"), "text")
     rows = wanted.join(texts, "id").select("a", "portion", "member", "id", "text")
-    return rows.repartition("a", "portion").sortWithinPartitions("a", "portion", "member").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
+    return rows.repartition("a", "portion").sortWithinPartitions("a", "portion", "member").mapInArrow(_confirm(words, percent), "a long, b long")
 
 
 def _fine(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(*FINE)
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             for a, b in steps(offsets):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(sampler.sketches(sampler.samples(sets)))], names=["doc_id", "fine"])
+                n = np.array([len(x) for x in sets], np.int64)
+                shingles = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), _lists(sampler.sketches(sampler.samples(sets))), shingles], names=["doc_id", "component", "n_shingles", "sketch", "shingles"])
 
     return run
 
@@ -181,8 +175,50 @@ def _sift(pairs: DataFrame, percent: int, slack: float, samples: int, bits: int)
     return pairs.filter(sizes).filter(differ <= most)
 
 
-def _of(profiles: DataFrame, side: str) -> DataFrame:
-    return profiles.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"), F.col("bands").alias(f"bands_{side}"))
+def _sifted(pairs: DataFrame, profiles: DataFrame, percent: int, slack: float, samples: int, bits: int) -> DataFrame:
+    """Of written pairs (a, b, n) those that sizes and sketches admit, dealt to portions: (a, b, portion)."""
+    for side in "ab":
+        pairs = pairs.join(profiles.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    portion = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PORTION)).alias("portion")
+    return materialize(_sift(pairs, percent, slack, samples, bits).select("a", "b", portion).distinct(), "sifted")
+
+
+def _stars(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members of buckets that hold several classes: bucket, a (the bucket's smallest id), b; pairs of a bucket's smallest id and another member: a, b, n (an upper bound is the bucket's size))."""
+    keyed = classes.select("doc_id", F.explode("bands").alias("bucket"))
+    stars = materialize(keyed.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("other"), F.count("*").alias("n")).filter("a <> other").drop("other"), "stars")
+    members = materialize(keyed.join(stars, "bucket").select("bucket", "a", F.col("doc_id").alias("b"), "n"), "members")
+    return members, materialize(members.filter("a <> b").groupBy("a", "b").agg(F.max("n").alias("n")), "pairs")
+
+
+def _scattered(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, component) of the members of buckets in which the links found leave several components."""
+    placed = members.join(found.withColumnRenamed("id", "b"), "b", "left").select("bucket", F.col("b").alias("doc_id"), F.coalesce("component", "b").alias("component"))
+    placed = materialize(placed, "placed")
+    mixed = materialize(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket"), "mixed")
+    return materialize(placed.join(mixed, "bucket", "left_semi").select("doc_id", "component").distinct(), "scattered")
+
+
+def _rare_pairs(long: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n) in different components that share one of their rarest shingles, and whose sizes admit the threshold.
+
+    Two sets that reach the threshold have a shingle in common even among the floor((100 - percent) * size / 100) + 1
+    that stand first in any order of all shingles. Ordered by how many of the documents hold them, shingles that a
+    template spreads stand last, so that texts which share nothing else meet nowhere.
+    """
+    tokens = long.select("row", "doc_id", "component", "n_shingles", F.explode("shingles").alias("token"))
+    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).filter("c > 1"), "shared")
+    met = tokens.join(shared, "token")
+    own = Window.partitionBy("row")
+    # shingles that no other document holds stand before all these
+    rank = F.row_number().over(own.orderBy("c", "token")) + F.col("n_shingles") - F.count("*").over(own)
+    first = met.withColumn("rank", rank).filter(f"rank <= (({100 - percent} * n_shingles) div 100) + 1 and x <> y").select("token", "doc_id", "component", "n_shingles")
+    first = materialize(first, "prefixes")
+    groups = materialize(first.groupBy("token").agg(F.min("component").alias("home"), F.max("component").alias("last"), F.count("*").alias("n")).filter("home <> last").drop("last"), "tokens")
+    strays = materialize(first.join(groups, "token").filter("component <> home").select("token", "doc_id", "component", "n_shingles", "n"), "strays")
+    others = first.select("token", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"))
+    met = strays.join(others, "token").filter("component <> component_b").filter(f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)")
+    return materialize(met.groupBy(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).agg(F.max("n").alias("n")), "rest")
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -190,36 +226,25 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = materialize(docs.mapInArrow(_profiles(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"), "profiles")
-    classes = profiles.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    reps = profiles.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").select("doc_id", "n_shingles", "bands", "sketch")
-    reps = materialize(reps.dropDuplicates(["doc_id", "n_shingles"]), "representatives")
-
-    keyed = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    stars = keyed.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("other")).filter("a <> other").drop("other")
-    members = materialize(keyed.join(stars, "bucket").select("bucket", "a", F.col("doc_id").alias("b")), "members")
-    pairs = members.filter("a <> b").select("a", "b").distinct()
-    sifted = _sift(pairs.join(_of(reps, "a"), "a").join(_of(reps, "b"), "b"), percent, SLACK[0], BANDS * ROWS, BITS).select("a", "b").distinct()
-    links = materialize(_verified(materialize(sifted, "pairs"), docs, words, percent), "links")
-
-    found = components(links)
-    placed = members.join(found.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    placed = materialize(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    long = _texts(docs, placed.select(F.col("b").alias("id"))).select("doc_id", "text").mapInArrow(_fine(words), "doc_id long, fine array<long>")
-    long = materialize(reps.join(long, "doc_id").select("doc_id", "n_shingles", "bands", F.col("fine").alias("sketch")), "long")
-    home = placed.filter("a = b").select("bucket", F.col("component").alias("home")).distinct()
-    strays = placed.join(home, "bucket").filter("component <> home").select("bucket", "b", "component").join(_of(long, "b"), "b")
-    others = placed.filter("a <> b").select("bucket", F.col("b").alias("a"), F.col("component").alias("component_a")).join(_of(long, "a"), "a")
-    rest = _sift(strays.join(others, "bucket").filter("component <> component_a"), percent, SLACK[1], FINE[0] * FINE[1], FINE[2])
-    rest = rest.filter(F.col("bucket") == F.element_at(F.array_intersect("bands_a", "bands_b"), 1)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(materialize(rest, "rest"), docs, words, percent)
-
-    twice = profiles.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("doc_id")
-    same = profiles.join(twice, "doc_id", "left_semi").join(classes, ["k1", "k2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.union(more).union(same))
-    out = profiles.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    out = out.join(final.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    sets = profiles.filter("n_shingles > 0 and doc_id is not null")
+    rep = F.min_by(F.struct("doc_id", "bands", "sketch"), "doc_id").alias("rep")
+    classes = materialize(sets.groupBy("k1", "k2", "n_shingles").agg(rep).select("k1", "k2", "n_shingles", "rep.*"), "classes")
+
+    members, pairs = _stars(classes)
+    links = materialize(_verified(_sifted(pairs, classes, percent, SLACK[0], BANDS * ROWS, BITS), docs, words, percent), "links")
+    scattered = _scattered(members, components(links))
+    long = scattered.join(docs.filter("text is not null"), "doc_id").select("doc_id", "component", "text")
+    long = long.mapInArrow(_fine(words), "doc_id long, component long, n_shingles long, sketch array<long>, shingles array<long>")
+    long = materialize(long.withColumn("row", F.monotonically_increasing_id()), "long")
+    more = _verified(_sifted(_rare_pairs(long, percent), long, percent, SLACK[1], FINE[0] * FINE[1], FINE[2]), docs, words, percent)
+
+    twice = materialize(sets.groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("doc_id"), "twice")
+    same = sets.join(twice, "doc_id", "left_semi").join(classes.withColumnRenamed("doc_id", "rep"), ["k1", "k2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = components(links.union(more).union(same)).withColumnRenamed("id", "doc_id")
+    named = classes.select("k1", "k2", "n_shingles", "doc_id").join(final, "doc_id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    out = profiles.select("doc_id", "n_shingles", "k1", "k2").join(materialize(named, "named"), ["k1", "k2", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", component, F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:

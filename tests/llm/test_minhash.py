@@ -59,3 +59,39 @@ def test_components_of_a_path(spark, n):
     df = spark.createDataFrame(list(zip(ids, ids[1:])) + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(df).collect()}
     assert got == {i: 0 for i in ids} | {100: 100, 101: 100}
+
+
+def test_a_template_makes_no_pairs(spark, monkeypatch):
+    """Texts that share 60 % of their shingles meet in many buckets; the tables that `link` writes must grow with their number, not its square."""
+    from sparkloom.llm import minhash
+
+    def written(n):
+        rng, sizes, keep = random.Random(3), {}, minhash.materialize
+
+        def note(df, name):
+            out = keep(df, name)
+            sizes[name] = out.count()
+            return out
+
+        shared = [f"t{rng.randrange(10**6)}" for _ in range(150)]
+        rows = [(i, " ".join(shared + [f"u{i}x{j}" for j in range(52 if i % 9 else 10)])) for i in range(n)]
+        monkeypatch.setattr(minhash, "materialize", note)
+        run(spark, rows)
+        monkeypatch.setattr(minhash, "materialize", keep)
+        return sizes
+
+    small, large = written(100), written(300)
+    assert large["scattered"] > 200  # the case is met
+    for name in small:
+        assert large[name] <= 4 * small[name] + 50, name
+    assert large["rest"] <= 300
+
+
+def test_components_of_a_hub_and_chains(spark):
+    rng = random.Random(8)
+    edges = [(i, 0 if i % 3 == 0 else i - 1) for i in range(1, 900)] + [(5000 + i, 5000 + i // 2) for i in range(1, 200)]
+    edges += [(b, a) for a, b in rng.sample(edges, 300)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(16)
+    got = {r.id: r.component for r in components(df).collect()}
+    assert got == {i: 0 for i in range(900)} | {5000 + i: 5000 for i in range(200)}
+    assert components(spark.createDataFrame([(None, 1), (2, None), (3, 3)], "a long, b long")).count() == 0
