@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.json_text import number_field, words
 from sparkloom.operators.graph import hubs
-from sparkloom.operators.relational import as_of, gaps, latest, missing, share_of_group, top_per_group
+from sparkloom.operators.relational import as_of, gaps, latest, missing, ordered_text, share_of_group, top_per_group
 from sparkloom.sources.tables import table
 from sparkloom.streaming.events import counts_by_window
 
@@ -48,6 +48,12 @@ def customers_without_orders(spark, sf_dir) -> DataFrame:
     return missing(table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), orders, "c_custkey")
 
 
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
+def customers_without_urgent_orders(spark, sf_dir) -> DataFrame:
+    orders = table(spark, sf_dir, "orders", F.col("o_custkey").alias("c_custkey"), "o_orderpriority", "o_orderstatus").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    return missing(table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"), orders, "c_custkey")
+
+
 @query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1")
 def orders_with_returns(spark, sf_dir) -> DataFrame:
     returned = table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag").filter("l_returnflag = 'R'")
@@ -130,5 +136,4 @@ def words_by_language(spark, sf_dir) -> DataFrame:
 
 @query("SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn, role) AS roles FROM conversations GROUP BY 1")
 def conversation_shapes(spark, sf_dir) -> DataFrame:
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return table(spark, sf_dir, "conversations", "conv_id", "turn", "role").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(turns, lambda x: x["role"]), ">").alias("roles"))
+    return ordered_text(table(spark, sf_dir, "conversations", "conv_id", "turn", "role"), "conv_id", "turn", "role", ">", "n_turns", "roles")
