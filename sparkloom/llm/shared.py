@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from sparkloom.sources.tables import discard, materialize, shared_folder  # noqa: F401
 
 #: Text handed to one numpy step, in bytes: keeps temporary arrays within a few dozen MB. A longer document is a step of its own.
 STEP_BYTES = 1 << 20
@@ -17,24 +17,6 @@ STEP_BYTES = 1 << 20
 #: over, by the JVM and by the worker, for each core.
 BATCH_BYTES = 4 << 20
 
-_FOLDERS: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    return _FOLDERS.setdefault("own", tempfile.mkdtemp(prefix="spark-sparkloom-"))
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, and survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/sparkloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Sets the session's bound on Arrow batches to BATCH_BYTES where it has none of its own. A longer row is a batch by itself."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
