@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,18 +36,18 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return materialize(edges.mapInArrow(contract, "a long, b long"), "edges")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node moves to the smallest of the node and its neighbours."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every neighbour above a node moves to the smallest of the node and its neighbours; and the table of minima."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "least")
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
+    return materialize(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b"), "stars"), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its neighbours below it move to the smallest of them. Edges have a > b."""
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A node and its neighbours below it move to the smallest of them; and the table of minima. Edges have a > b."""
     least = materialize(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.union(least.select("a", F.col("least").alias("b"))).filter("a <> b")
+    return moved.union(least.select("a", F.col("least").alias("b"))).filter("a <> b"), least
 
 
 def _unsettled(edges: DataFrame) -> bool:
@@ -69,6 +69,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b")
     edges = _contracted(edges)
     while _unsettled(edges):
-        edges = _contracted(_small_star(materialize(_large_star(edges), "stars")))
+        stars, done = _large_star(edges)
+        moved, more = _small_star(stars)
+        new = _contracted(moved)
+        discard(edges, stars, done, more)
+        edges = new
     child, root = edges.select(F.col("a").alias("id"), F.col("b").alias("component")), edges.select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return materialize(child.union(root).distinct(), "components")
+    out = materialize(child.union(root).distinct(), "components")
+    discard(edges)
+    return out

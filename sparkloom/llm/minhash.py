@@ -7,15 +7,17 @@ Plan.
    class at once, represented by the smallest id.
 2. In each bucket of a band, members are compared with the bucket's smallest id only (a star).
    Pairs whose sizes or sketches rule the threshold out go; the others are decided on full sets.
-3. Only documents of buckets in which the links found so far leave several components are looked at again.
-   Those in different components that share one of their rarest shingles are paired, each pair once, sifted by
-   longer sketches (FINE) that only these documents get, and decided on full sets. This search is exact (see
-   `_rare_pairs`). So a bucket of thousands of copies, or of texts that share a template but too little else, costs
-   work in proportion to its size, and no link that would join two components is lost.
-4. Components of the links give each document the smallest id that it can reach.
+3. Only documents of buckets in which the links found so far leave several components are looked at again. They
+   get longer sketches and longer bands (FINE), whose buckets are stars again: members outside the component of the
+   bucket's smallest id are compared with it.
+4. What is left are long buckets that still hold several components. Members of different components are paired,
+   each pair once, where a bucket has at most FEW of them. Those of larger buckets are paired where they share
+   one of their rarest shingles, which is exact (see `_rare_pairs`). So a bucket of thousands of copies, or of texts
+   that share a template but too little else, costs work in proportion to its size.
+5. Components of the links give each document the smallest id that it can reach.
 
 A pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands: at 0.75, with 50 bands of 5
-rows, all but 1 in 700,000. Sifts admit what a sketch puts up to `slack` below the threshold: SLACK is over four
+rows, all but 1 in 1,700,000; with 200 bands of 10, all but 1 in 100,000. Sifts admit what a sketch puts up to `slack` below the threshold: SLACK is over four
 standard deviations of either sketch.
 
 Defined cases: a text without words, or a null one, has an empty set and is linked with nothing; one with
@@ -34,15 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bound_batches, materialize, mix, powers, span_hashes, steps, utf8, window_hashes, word_bounds
+from .shared import bound_batches, discard, materialize, mix, powers, span_hashes, steps, utf8, window_hashes, word_bounds
 
 BANDS, ROWS, BITS = 50, 5, 1024
-#: Bands, rows and bits of the longer sketch, of which only samples and sketch are used.
-FINE = (400, 5, 8192)
+#: Bands, rows and bits of the longer sketch.
+FINE = (200, 10, 8192)
 #: For the first sketch and the longer one.
 SLACK = (0.2, 0.05)
 #: Members of a star that one task compares with their centre before the next portion starts.
 PORTION = 64
+#: Members of a long bucket with several components up to which they are paired as they are.
+FEW = 8
 _BLOCK = 2048
 
 
@@ -152,15 +156,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 
 def _fine(words: int):
+    """(doc_id, component, text) to the longer sketch and band keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(*FINE)
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            for a, b in steps(offsets):
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                samples = sampler.samples(sets)
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), _lists(sampler.keys(samples)), _lists(sampler.sketches(samples))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "component", "n_shingles", "bands", "sketch"])
+
+    return run
+
+
+def _shingles(words: int):
+    """(doc_id, component, text) to its set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             for a, b in steps(offsets):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 n = np.array([len(x) for x in sets], np.int64)
                 shingles = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), _lists(sampler.sketches(sampler.samples(sets))), shingles], names=["doc_id", "component", "n_shingles", "sketch", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), shingles], names=["doc_id", "component", "n_shingles", "shingles"])
 
     return run
 
@@ -191,34 +212,69 @@ def _stars(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, materialize(members.filter("a <> b").groupBy("a", "b").agg(F.max("n").alias("n")), "pairs")
 
 
-def _scattered(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, component) of the members of buckets in which the links found leave several components."""
-    placed = members.join(found.withColumnRenamed("id", "b"), "b", "left").select("bucket", F.col("b").alias("doc_id"), F.coalesce("component", "b").alias("component"))
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (bucket, doc_id) of the buckets in which the links found leave several components, each with its component and n, the bucket's size."""
+    placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     placed = materialize(placed, "placed")
-    mixed = materialize(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket"), "mixed")
-    return materialize(placed.join(mixed, "bucket", "left_semi").select("doc_id", "component").distinct(), "scattered")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y").select("bucket", "n")
+    mixed = materialize(mixed, "buckets")
+    out = materialize(placed.join(mixed, "bucket"), "mixed")
+    discard(placed, mixed)
+    return out
+
+
+def _long_stars(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of long buckets with several components: (members: bucket, doc_id; pairs of the smallest id and a member of another component: a, b, n)."""
+    keyed = long.select("doc_id", "component", F.explode("bands").alias("bucket"))
+    home = F.min(F.struct("doc_id", "component")).alias("home")
+    stars = materialize(keyed.groupBy("bucket").agg(home, F.max("component").alias("y"), F.min("component").alias("x"), F.count("*").alias("n")).filter("x <> y").select("bucket", "home", "n"), "stars")
+    members = materialize(keyed.join(stars, "bucket"), "members")
+    pairs = members.filter("component <> home.component").groupBy(F.col("home.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n"))
+    pairs = materialize(pairs, "pairs")
+    discard(stars)
+    return members, pairs
 
 
-def _rare_pairs(long: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n) in different components that share one of their rarest shingles, and whose sizes admit the threshold.
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n) of sets(row, doc_id, component, n_shingles, shingles) in different components that share one of their rarest shingles.
 
     Two sets that reach the threshold have a shingle in common even among the floor((100 - percent) * size / 100) + 1
     that stand first in any order of all shingles. Ordered by how many of the documents hold them, shingles that a
     template spreads stand last, so that texts which share nothing else meet nowhere.
     """
-    tokens = long.select("row", "doc_id", "component", "n_shingles", F.explode("shingles").alias("token"))
+    tokens = sets.select("row", "doc_id", "component", "n_shingles", F.explode("shingles").alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).filter("c > 1"), "shared")
-    met = tokens.join(shared, "token")
     own = Window.partitionBy("row")
     # shingles that no other document holds stand before all these
     rank = F.row_number().over(own.orderBy("c", "token")) + F.col("n_shingles") - F.count("*").over(own)
-    first = met.withColumn("rank", rank).filter(f"rank <= (({100 - percent} * n_shingles) div 100) + 1 and x <> y").select("token", "doc_id", "component", "n_shingles")
-    first = materialize(first, "prefixes")
+    first = tokens.join(shared, "token").withColumn("rank", rank).filter(f"rank <= (({100 - percent} * n_shingles) div 100) + 1 and x <> y")
+    first = materialize(first.select("token", "doc_id", "component", "n_shingles"), "prefixes")
     groups = materialize(first.groupBy("token").agg(F.min("component").alias("home"), F.max("component").alias("last"), F.count("*").alias("n")).filter("home <> last").drop("last"), "tokens")
     strays = materialize(first.join(groups, "token").filter("component <> home").select("token", "doc_id", "component", "n_shingles", "n"), "strays")
-    others = first.select("token", F.col("doc_id").alias("b"), F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"))
-    met = strays.join(others, "token").filter("component <> component_b").filter(f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)")
-    return materialize(met.groupBy(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).agg(F.max("n").alias("n")), "rest")
+    out = materialize(_across(strays, first, "token", percent), "rare")
+    discard(shared, first, groups, strays)
+    return out
+
+
+def _across(left: DataFrame, right: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs (a, b, n), each once, of rows of one key in different components whose sizes admit the threshold."""
+    right = right.select(key, F.col("doc_id").alias("other"), F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"))
+    met = left.join(right, key).filter("component <> component_b").filter(f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)")
+    return met.groupBy(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).agg(F.max("n").alias("n"))
+
+
+def _rest(members: DataFrame, long: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b, n) of members of mixed long buckets in different components."""
+    sizes = long.select("doc_id", "n_shingles").distinct()
+    few = materialize(members.filter(F.col("n") <= FEW).join(sizes, "doc_id"), "few")
+    pairs = _across(few, few, "bucket", percent)
+    many = materialize(members.filter(F.col("n") > FEW).select("doc_id", "component").distinct(), "many")
+    sets = many.join(docs, "doc_id").select("doc_id", "component", "text").mapInArrow(_shingles(words), "doc_id long, component long, n_shingles long, shingles array<long>")
+    sets = materialize(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+    rare = _rare_pairs(sets, percent)
+    out = materialize(pairs.unionByName(rare).groupBy("a", "b").agg(F.max("n").alias("n")), "rest")
+    discard(few, many, sets, rare)
+    return out
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -227,22 +283,40 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = materialize(docs.mapInArrow(_profiles(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"), "profiles")
     sets = profiles.filter("n_shingles > 0 and doc_id is not null")
+    docs = docs.filter("doc_id is not null and text is not null")
     rep = F.min_by(F.struct("doc_id", "bands", "sketch"), "doc_id").alias("rep")
     classes = materialize(sets.groupBy("k1", "k2", "n_shingles").agg(rep).select("k1", "k2", "n_shingles", "rep.*"), "classes")
 
     members, pairs = _stars(classes)
-    links = materialize(_verified(_sifted(pairs, classes, percent, SLACK[0], BANDS * ROWS, BITS), docs, words, percent), "links")
-    scattered = _scattered(members, components(links))
-    long = scattered.join(docs.filter("text is not null"), "doc_id").select("doc_id", "component", "text")
-    long = long.mapInArrow(_fine(words), "doc_id long, component long, n_shingles long, sketch array<long>, shingles array<long>")
-    long = materialize(long.withColumn("row", F.monotonically_increasing_id()), "long")
-    more = _verified(_sifted(_rare_pairs(long, percent), long, percent, SLACK[1], FINE[0] * FINE[1], FINE[2]), docs, words, percent)
+    sifted = _sifted(pairs, classes, percent, SLACK[0], BANDS * ROWS, BITS)
+    links = materialize(_verified(sifted, docs, words, percent), "links")
+    done = [members, pairs, sifted]
+    found = components(links)
+    scattered = _mixed(members.select("bucket", F.col("b").alias("doc_id")), found)
+    done += [found, scattered]
+    if not scattered.isEmpty():
+        long = scattered.select("doc_id", "component").distinct().join(docs, "doc_id").select("doc_id", "component", "text")
+        long = materialize(long.mapInArrow(_fine(words), "doc_id long, component long, n_shingles long, bands array<long>, sketch array<long>"), "long")
+        members, pairs = _long_stars(long)
+        sifted = _sifted(pairs, long, percent, SLACK[1], FINE[0] * FINE[1], FINE[2])
+        more = materialize(links.union(_verified(sifted, docs, words, percent)), "links")
+        done += [long, members, pairs, sifted, links]
+        found = components(more)
+        mixed = _mixed(members.select("bucket", "doc_id"), found)
+        done += [found, mixed]
+        links = more
+        if not mixed.isEmpty():
+            rest = _rest(mixed, long, docs, words, percent)
+            sifted = _sifted(rest, long, percent, SLACK[1], FINE[0] * FINE[1], FINE[2])
+            links = materialize(more.union(_verified(sifted, docs, words, percent)), "links")
+            done += [rest, sifted, more]
 
     twice = materialize(sets.groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("doc_id"), "twice")
     same = sets.join(twice, "doc_id", "left_semi").join(classes.withColumnRenamed("doc_id", "rep"), ["k1", "k2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = components(links.union(more).union(same)).withColumnRenamed("id", "doc_id")
-    named = classes.select("k1", "k2", "n_shingles", "doc_id").join(final, "doc_id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    final = components(links.union(same))
+    named = classes.select("k1", "k2", "n_shingles", "doc_id").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     out = profiles.select("doc_id", "n_shingles", "k1", "k2").join(materialize(named, "named"), ["k1", "k2", "n_shingles"], "left")
+    discard(*done, links, twice, final, classes)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component, F.col("doc_id").eqNullSafe(component).alias("kept"))
 
