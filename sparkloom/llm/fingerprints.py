@@ -9,31 +9,38 @@ what lies beyond LETTERS - 1 chunks is folded into the last letter, so that ever
 Two fingerprints are compared where block sizes agree or differ by a factor of two; the likeness is
 1 - (insertions, deletions and substitutions) / longer line, from a bit-parallel distance over many pairs at once.
 
-Neighbours in descending id order come without a global sort: documents are dealt to ranges of ids, and the
-first document of the next range travels along as a guest. The driver only sees the ranges' bounds.
+Neighbours in descending id order come without moving texts twice. Keys (id, the text's first PREFIX characters)
+and sizes are sorted by Spark in ranges, and each of its tasks cuts its run of keys wherever RANGE_BYTES of text are
+reached, so that ranges are even whatever the ids are and one id with very many rows is cut too. The driver gets the
+cuts: one key for each range, of which there are at most about MOST_RANGES, as ranges grow with larger corpora. A
+row's range is a binary search among them. The document at a cut is also a guest at the end of the range before it.
 
 Defined cases: a null text counts as empty; two empty texts are alike (1), an empty and another are not (0);
-rows of one id follow each other by text; a null id comes after all others; a table of one row is its own
+rows of one id follow each other by text; null ids come after all others, by text; a table of one row is its own
 next document; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, powers
+from .shared import bound_batches, discard, materialize, mix, powers
 
 LETTERS = 64
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _WINDOW, _FIRST = 7, 3
-#: Bytes of text for each range of ids.
-RANGE_BYTES = 8 << 20
+#: Bytes of text for each range of ids, and how many ranges there may be before they get longer.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 20_000
+#: Characters of a text that go into its key.
+PREFIX = 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64))
@@ -152,32 +159,80 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(out)
 
 
+def _order() -> list[F.Column]:
+    return [F.desc_nulls_last("doc_id"), F.col("prefix")]
+
+
+def _cut(size: int):
+    """Of keys in order, with sizes: the first key of each run of about `size` bytes, the task's first one included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room, last = 0, None
+        for batch in batches:
+            at = []
+            for i, key in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if room <= 0 and key[:2] != last:  # equal keys stay together
+                    at.append(i)
+                    room = size
+                room -= key[2]
+                last = key[:2]
+            cut = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(cut.columns[:2], names=["doc_id", "prefix"])
+
+    return run
+
+
+def _bounds(docs: DataFrame) -> list[tuple[int | None, str]]:
+    """The first key of each range, in order."""
+    keys = docs.select("doc_id", "prefix", F.octet_length("text").cast("long").alias("size"))
+    keys = materialize(keys, "keys")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    size = max(RANGE_BYTES, total // MOST_RANGES)
+    dealt = keys.repartitionByRange(max(1, min(-(-total // size), MOST_RANGES)), *_order()).sortWithinPartitions(*_order())
+    # at most two keys for each range of `size` bytes: a task's first one, and those within it
+    found = dealt.mapInArrow(_cut(size), "doc_id long, prefix string").collect()
+    discard(keys)
+    return sorted({(r.doc_id, r.prefix) for r in found}, key=_key)
+
+
+def _key(x: tuple[int | None, str]) -> tuple:
+    return (x[0] is None, -(x[0] or 0), x[1].encode())
+
+
+def _span(bounds: list[tuple[int | None, str]]):
+    """The number of the range that a key is in, and whether the key is that range's first."""
+    keys = [_key(b) for b in bounds]
+    ids = -np.array([b[0] for b in bounds if b[0] is not None], np.int64).astype(np.float64)  # only narrows the search
+    nulls = sum(b[0] is not None for b in bounds)
+
+    @F.pandas_udf("span int, head boolean")
+    def span(missing: pd.Series, doc_id: pd.Series, prefix: pd.Series) -> pd.DataFrame:
+        missing, doc_id = missing.to_numpy(bool), doc_id.to_numpy(np.int64)
+        rough = -doc_id.astype(np.float64)
+        lo = np.where(missing, nulls, np.searchsorted(ids, rough, "left"))
+        hi = np.where(missing, len(keys), np.searchsorted(ids, rough, "right"))
+        spans, heads = lo - 1, np.zeros(len(lo), bool)
+        for i in np.flatnonzero(hi > lo).tolist():  # an id at a cut: by the whole key
+            key = _key((None if missing[i] else int(doc_id[i]), prefix.iloc[i]))
+            at = bisect_right(keys, key, lo[i], hi[i]) - 1
+            spans[i], heads[i] = at, at >= 0 and keys[at] == key
+        return pd.DataFrame({"span": spans.astype(np.int32), "head": heads})
+
+    return span
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_chars, fingerprint, and those of its edited text, with the likeness to that and to the next document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_BYTES))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    # range 0 has the largest ids; a null id is in the last
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(sum((F.col("doc_id") < c).cast("int") for c in cuts) if len(cuts) < 64 else _place(cuts))
-    docs = docs.withColumn("span", (place if cuts else F.lit(0)).cast("int"))
-    heads = sorted((r for r in docs.groupBy("span").agg(F.max("doc_id").alias("head")).collect()), key=lambda r: r.span)
-    # each range's first document is also a guest of the range before it
-    before = {r.span: heads[i - 1].span for i, r in enumerate(heads)}
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(r.span, r.head, before[r.span]) for r in heads], "span int, head long, host int")
-    found = docs.join(F.broadcast(table), "span")  # a row per range: the driver has made it
-    guest = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(F.struct(F.col("span").alias("at"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("at"), F.lit(1).alias("guest"))))
-    rows = found.select(F.explode(F.coalesce(guest, F.array(F.struct(F.col("span").alias("at"), F.lit(0).alias("guest"))))).alias("p"), "doc_id", "text").select("p.at", "p.guest", "doc_id", "text")
-    rows = rows.repartition(max(len(heads), 1), "at").sortWithinPartitions("at", "guest", F.desc_nulls_last("doc_id"), "text")
+    bound_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("prefix", F.substring("text", 1, PREFIX))
+    bounds = _bounds(docs)
+    n = max(len(bounds), 1)
+    found = docs.withColumn("at", _span(bounds)(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "prefix"))
+    own, guest = F.struct(F.col("at.span").alias("at"), F.lit(0).alias("guest")), F.struct(F.pmod(F.col("at.span") - 1, F.lit(n)).alias("at"), F.lit(1).alias("guest"))
+    rows = found.select(F.explode(F.when(F.col("at.head"), F.array(own, guest)).otherwise(F.array(own))).alias("p"), "doc_id", "text").select("p.at", "p.guest", "doc_id", "text")
+    rows = rows.repartition(n, "at").sortWithinPartitions("at", "guest", F.desc_nulls_last("doc_id"), "text")
     return rows.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _place(cuts: list[float]) -> F.Column:
-    """How many cuts lie above the id, by a lookup that does not grow the plan with their number."""
-    above = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (F.col("doc_id") < c).cast("int"))
-    return above
-
-
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
