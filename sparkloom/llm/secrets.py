@@ -1,19 +1,21 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions only.
 
-A version's text is a blob named by its SHA-256. The ledger has a row for each pair of blob and rule version
-that was ever scanned, with its findings. A scan takes each blob of the given versions once, leaves out the
-pairs that the ledger has, scans the rest, and joins findings back to every path that holds the blob.
-A blob that a third of all paths share is one row after the map-side part of the deduplication, and the join
-back to the paths is one that Spark may split.
+Each row of a table of versions is a text at a path, at a version of the path if the table tells versions apart;
+the text is a blob named by its SHA-256. The ledger has a row for each pair of blob and rule version that was
+ever scanned, with its findings. A scan takes each blob of the given versions once, leaves out the pairs that the
+ledger has, scans and appends the rest, and joins findings back to every path that holds the blob.
+A blob that a third of all paths share is one row after the map-side part of the deduplication. Findings are
+written before they are joined back, one row a blob, so that Spark may split such a blob's partition.
 
-The registered query and `redact` as the pipeline uses it keep one ledger in the shared folder: they scan what
-it lacks, append that, and read all findings from it.
+A ledger is a folder of Parquet files that the caller keeps between scans. The registered query, and `redact`
+without one, start an empty one in the shared folder: they scan every blob of their table in each run.
 
 Positions come from one pass per rule: matches are taken with the text before them, anchored at the last
 match's end, and their lengths are summed along the blob.
 
 Defined cases: a null text counts as empty and has no findings; repeated rows share a blob and get the same
-findings; a null path is a path; other columns of the versions are ignored by `scan` and kept by `redact`.
+findings; a null path or version is a path or version; a pair that the ledger holds twice, as after a retried
+append, counts once; other columns of the versions are ignored by `scan` and kept by `redact`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .shared import materialize
 
 #: (kind, pattern, group whose length counts, least length). The order ranks kinds that start at one place.
 #: The first three are the contract's, the others the published forms of keys that hosts hand out.
@@ -43,11 +45,6 @@ def rule_version(rules=RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-def _blobs(versions: DataFrame, text: str) -> DataFrame:
-    versions = versions.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return versions.withColumn("__blob", F.sha2("__text", 256))
-
-
 def _matches(text, rule) -> F.Column:
     """Of one rule: array of (rank, number, length with the gap before, length, does it count)."""
     rank, (kind, pattern, group, least) = rule
@@ -71,18 +68,9 @@ def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
     return rows.groupBy("blob").agg(F.sort_array(F.collect_list(F.when(F.col("counts"), finding))).cast(_FINDINGS).alias("findings")).withColumn("rule_version", F.lit(rule_version(rules)))
 
 
-def scan(versions: DataFrame, path: str = "path", text: str = "text", ledger: DataFrame | None = None, rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings of every row of versions: path, blob, findings; the ledger's new rows: blob, findings, rule_version).
-
-    Give the written union of old and new rows as the ledger of the next scan.
-    """
-    versions = _versions(versions, path, text)
-    known, new = _unseen(versions, ledger, rules)
-    return _back(versions, new if known is None else known.unionByName(new)), new
-
-
-def _versions(versions: DataFrame, path: str, text: str) -> DataFrame:
-    return _blobs(versions.select(F.col(f"`{path}`").alias("path"), F.col(f"`{text}`").alias("text")), "text")
+def _versions(versions: DataFrame, path: str, version: str | None, text: str) -> DataFrame:
+    plain = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return versions.select(F.col(f"`{path}`").alias("path"), *([F.col(f"`{version}`").alias("version")] if version else []), plain.alias("text"), F.sha2(plain, 256).alias("blob"))
 
 
 def _known(ledger: DataFrame, rules) -> DataFrame:
@@ -90,50 +78,57 @@ def _known(ledger: DataFrame, rules) -> DataFrame:
     return ledger.filter(F.col("rule_version") == rule_version(rules)).select("blob", "findings", "rule_version").dropDuplicates(["blob"])
 
 
-def _unseen(keyed: DataFrame, ledger: DataFrame | None, rules) -> tuple[DataFrame | None, DataFrame]:
-    """(the ledger's rows of the rule version; the scan of the blobs that it lacks)."""
-    blobs = keyed.select(F.col("__blob").alias("blob"), F.col("__text").alias("text")).dropDuplicates(["blob"])
-    known = None
+def _unseen(versions: DataFrame, ledger: DataFrame | None, rules) -> DataFrame:
+    """The ledger's new rows: the scan of the blobs that it lacks."""
+    blobs = versions.select("blob", "text").dropDuplicates(["blob"])
     if ledger is not None:
-        known = _known(ledger, rules)
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    return known, scan_blobs(blobs, rules).select("blob", "findings", "rule_version")
+        blobs = blobs.join(ledger.filter(F.col("rule_version") == rule_version(rules)).select("blob"), "blob", "left_anti")
+    return scan_blobs(blobs, rules).select("blob", "findings", "rule_version")
 
 
 def _back(versions: DataFrame, every: DataFrame) -> DataFrame:
-    back = versions.select("path", F.col("__blob").alias("blob")).join(every.select("blob", "findings"), "blob", "left")
-    return back.select("path", "blob", "findings")
+    return versions.drop("text").join(every.select("blob", "findings"), "blob", "left").select(*(c for c in versions.columns if c != "text"), "findings")
+
+
+def scan(versions: DataFrame, path: str = "path", text: str = "text", ledger: DataFrame | None = None, rules=RULES, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings of every row of versions: path, version if there is one, blob, findings; the ledger's new rows: blob, findings, rule_version).
+
+    Append the new rows to the ledger for the next scan, or use `scan_kept`, which does.
+    """
+    versions = _versions(versions, path, version, text)
+    new = _unseen(versions, ledger, rules)
+    return _back(versions, new if ledger is None else _known(ledger, rules).unionByName(new)), new
 
 
-def kept_ledger(spark: SparkSession) -> DataFrame:
-    """The ledger in the shared folder; empty before the first scan."""
-    path = f"{shared_folder(spark)}/sparkloom-secrets-ledger"
-    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
-    return spark.read.schema(LEDGER).parquet(path)
+def kept_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """The ledger in a folder; empty before the first scan."""
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(ledger)
+    return spark.read.schema(LEDGER).parquet(ledger)
 
 
-def _add(keyed: DataFrame, rules) -> DataFrame:
-    """Scans the blobs that the kept ledger lacks, appends them to it, and gives its rows of the rule version."""
-    spark = keyed.sparkSession
-    _, new = _unseen(keyed, kept_ledger(spark), rules)
-    new.write.mode("append").parquet(f"{shared_folder(spark)}/sparkloom-secrets-ledger")
-    return _known(kept_ledger(spark), rules)
+def _add(versions: DataFrame, ledger: str | None, rules) -> DataFrame:
+    """Scans the blobs that the ledger in the folder lacks, appends them to it, and gives its rows of the rule version."""
+    spark = versions.sparkSession
+    if ledger is None:  # a run's own, with the rows of this scan alone
+        return materialize(_unseen(versions, None, rules), "secrets-ledger")
+    _unseen(versions, kept_ledger(spark, ledger), rules).write.mode("append").parquet(ledger)
+    return materialize(_known(kept_ledger(spark, ledger), rules), "findings")
 
 
-def scan_kept(versions: DataFrame, path: str = "path", text: str = "text", rules=RULES) -> DataFrame:
-    """The findings that `scan` gives, by way of the kept ledger."""
-    versions = _versions(versions, path, text)
-    return _back(versions, _add(versions, rules))
+def scan_kept(versions: DataFrame, path: str = "path", text: str = "text", ledger: str | None = None, rules=RULES, version: str | None = None) -> DataFrame:
+    """The findings that `scan` gives, by way of the ledger kept in a folder; without one, of a new ledger of this run."""
+    versions = _versions(versions, path, version, text)
+    return _back(versions, _add(versions, ledger, rules))
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules=RULES) -> DataFrame:
-    """docs with every found span of the text replaced by the mark, by way of the kept ledger; where there is n_chars, it is the new length."""
-    columns = docs.columns
-    keyed = _blobs(docs, text)
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", ledger: str | None = None, rules=RULES) -> DataFrame:
+    """docs with every found span of the text replaced by the mark, by way of a ledger; where there is n_chars, it is the new length."""
+    plain = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), plain.alias("text"), F.sha2(plain, 256).alias("blob"))
     # blobs without a match are left out of the join's small side
-    new = _add(keyed, rules).filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), "findings")
+    found = _add(rows.select("blob", "text"), ledger, rules).filter(F.size("findings") > 0).select("blob", "findings")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    whole = F.col("__text")
+    whole = F.col("text")
 
     def put(acc, x):
         gap = F.when(x["start"] > acc["at"], F.concat(F.substring(whole, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark)))
@@ -141,10 +136,13 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules=RU
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     clean = F.aggregate("findings", start, put, lambda acc: F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole))))
-    joined = keyed.join(new, "__blob", "left").withColumn(text, F.when(F.col("findings").isNotNull(), clean).otherwise(F.col(text)))
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("findings").isNotNull(), F.length(text).cast("bigint")).otherwise(F.col("n_chars")))
-    return joined.select(*columns)
+    hit = F.col("findings").isNotNull()
+    joined = rows.join(found, "blob", "left").withColumn("clean", F.when(hit, clean))
+    new = {c: F.col("row").getField(c) for c in docs.columns}
+    new[text] = F.when(hit, F.col("clean")).otherwise(new[text])
+    if "n_chars" in new:
+        new["n_chars"] = F.when(hit, F.length("clean").cast("bigint")).otherwise(new["n_chars"])
+    return joined.select(*(x.alias(c) for c, x in new.items()))
 
 
 def _line(findings) -> F.Column:

@@ -56,20 +56,48 @@ def test_ledger(spark, tmp_path):
     assert secrets.scan(a.limit(0))[0].count() == 0
 
 
-def test_kept_ledger(spark, tmp_path, monkeypatch):
-    """The query and redact scan a blob once for a rule version, and find the same when nothing is left to scan."""
-    monkeypatch.setattr(secrets, "shared_folder", lambda _: str(tmp_path))
+def test_kept_ledger(spark, tmp_path):
+    """With a kept ledger, scan_kept and redact scan a blob once for a rule version, and find the same when nothing is left to scan."""
     rows = [(1, "token=abcdefgh"), (2, "token=abcdefgh"), (None, "AKIA" + "0" * 16), (4, None), (4, "")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    first = sorted(map(str, secrets.op5_secrets(spark, str(tmp_path)).collect()))
-    assert secrets.kept_ledger(spark).count() == 3 and len(first) == 5 and sum("n_assign=1" in r for r in first) == 2
-    assert sorted(map(str, secrets.op5_secrets(spark, str(tmp_path)).collect())) == first
-    clean = sorted((str(r.doc_id), str(r.text)) for r in secrets.redact(docs).collect())
+    docs, ledger = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ledger")
+
+    def scan():
+        return sorted(map(str, secrets.scan_kept(docs, path="doc_id", ledger=ledger).collect()))
+
+    first = scan()
+    assert secrets.kept_ledger(spark, ledger).count() == 3 and len(first) == 5 and sum("assign" in r for r in first) == 2
+    assert scan() == first
+    clean = sorted((str(r.doc_id), str(r.text)) for r in secrets.redact(docs, ledger=ledger).collect())
     assert clean == [("1", "[SECRET]"), ("2", "[SECRET]"), ("4", ""), ("4", "None"), ("None", "[SECRET]")]
-    assert secrets.kept_ledger(spark).count() == 3  # nothing was scanned again
-    secrets.redact(docs.unionByName(spark.createDataFrame([(9, "new")], "doc_id long, text string"))).count()
-    assert secrets.kept_ledger(spark).count() == 4
-    secrets.kept_ledger(spark).limit(2).write.parquet(str(tmp_path / "twice"))  # a scan at the same time
-    spark.read.parquet(str(tmp_path / "twice")).write.mode("append").parquet(str(tmp_path / "sparkloom-secrets-ledger"))
+    assert secrets.kept_ledger(spark, ledger).count() == 3  # nothing was scanned again
+    secrets.redact(docs.unionByName(spark.createDataFrame([(9, "new")], "doc_id long, text string")), ledger=ledger).count()
+    assert secrets.kept_ledger(spark, ledger).count() == 4
+    secrets.kept_ledger(spark, ledger).limit(2).write.parquet(str(tmp_path / "twice"))  # a scan at the same time
+    spark.read.parquet(str(tmp_path / "twice")).write.mode("append").parquet(ledger)
+    assert scan() == first
+    assert secrets.scan(docs, path="doc_id", ledger=secrets.kept_ledger(spark, ledger))[0].count() == 5
+    secrets.scan_kept(docs, path="doc_id", ledger=ledger, rules=secrets.RULES[:2]).count()
+    assert secrets.kept_ledger(spark, ledger).count() == 9  # another rule version: all three blobs anew
+
+
+def test_query_scans_in_each_run(spark, tmp_path):
+    """The query's ledger is its run's own: what an earlier run found does not stand in for a scan."""
+    spark.createDataFrame([(1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    first = sorted(map(str, secrets.op5_secrets(spark, str(tmp_path)).collect()))
+    assert len(first) == 3 and sum("n_assign=1" in r for r in first) == 2
     assert sorted(map(str, secrets.op5_secrets(spark, str(tmp_path)).collect())) == first
+
+
+def test_versions_of_a_path(spark):
+    df = spark.createDataFrame([("p", 1, "token=abcdefgh"), ("p", 2, "none"), ("q", None, "token=abcdefgh")], "path string, v int, text string")
+    found, new = secrets.scan(df, version="v")
+    assert {(r.path, r.version): len(r.findings) for r in found.collect()} == {("p", 1): 1, ("p", 2): 0, ("q", None): 1} and new.count() == 2
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    long = ("x " * 200_000) + "token=abcdefgh " + ("y " * 200_000)
+    df = spark.createDataFrame([("token=abcdefgh", 5, "f", "b", "d", "r", 14), (long, 6, "f", "b", "d", "r", len(long)), (None, 7, "f", "b", "d", "r", None)], "text string, doc_id long, findings string, blob string, `a.b` string, row string, n_chars long")
+    out = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert secrets.redact(df).columns == df.columns
+    assert out[5].text == "[SECRET]" and out[5].n_chars == 8 and tuple(out[5][2:6]) == ("f", "b", "d", "r")
+    assert out[6].text == long.replace("token=abcdefgh", "[SECRET]") and out[6].n_chars == len(out[6].text) and out[7].text is None and out[7].n_chars is None
