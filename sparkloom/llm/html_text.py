@@ -8,12 +8,13 @@ The text is all blocks of that node and, elsewhere, those whose path passes the
 links, in page order, without those in menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
 An id is often an anchor that names its topic: on headings and paragraphs ids say nothing, elsewhere an id counts
-only if all its words name such a part or a neutral box; inside article and main a class too.
+only if all its words name such a part or a neutral box; inside article and main a class too. Elsewhere a class
+with such a name among other words counts unless its element holds most of the page's text.
 
 Pages are independent rows: one pass, no shuffle.
 
 Defined cases: a null html is an empty page with empty text; text outside of any tag counts as a block of the
-root; unclosed and stray tags are tolerated; repeated rows are extracted each; other columns are ignored.
+root; unclosed and stray tags are tolerated, at any depth; repeated rows are extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ THRESHOLD, HELD = 0.08, 0.7
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([^<]+|<)""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_STRAY = re.compile("<")
 _PART = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "svg", "template", "math", "object", "canvas"}
@@ -60,13 +62,16 @@ def _names_part(value: str, strict: bool) -> bool:
 
 
 class _Node:
-    __slots__ = ("apart", "main", "number", "parent", "path", "role", "tag")
+    """An element. Its descendants have the numbers after its own, up to `last`; `path` numbers its path of tags and classes."""
 
-    def __init__(self, tag: str, attributes: str, parent: _Node | None, number: int):
-        self.tag, self.parent, self.number = tag, parent, number
+    __slots__ = ("apart", "block", "last", "main", "number", "parent", "path", "role", "tag", "weak")
+
+    def __init__(self, tag: str, attributes: str, parent: _Node | None, number: int, paths: dict[tuple[int, str, str], int]):
+        self.tag, self.parent, self.number, self.last = tag, parent, number, number
+        self.block = parent.block if parent is not None and tag in _INLINE else self
         self.main = tag in ("article", "main") or (parent is not None and parent.main)
         own = tag in _APART or (tag == "header" and not self.main)
-        name, self.role = "", False
+        name, self.role, self.weak = "", False, False
         if attributes:
             for key, *value in _NAMED.findall(attributes):
                 key, value = key.lower(), "".join(value).lower()
@@ -80,18 +85,26 @@ class _Node:
                     own = True
                 else:
                     named = tag not in ("html", "body", "article", "main") and not (key == "id" and (tag in _HEADINGS or tag == "p"))
-                    own |= named and _names_part(value, strict=key == "id" or self.main)
+                    own |= named and _names_part(value, strict=True)
+                    self.weak |= named and key == "class" and not self.main and _names_part(value, strict=False)
                     name += "." + value if key == "class" else ""
         self.apart = own or (parent is not None and parent.apart)
-        self.path = f"{parent.path}>{tag}{name}" if parent is not None else tag
+        self.path = paths.setdefault((parent.path if parent is not None else -1, tag, name), len(paths))
 
+    def holds(self, x: _Node) -> bool:
+        return self.number <= x.number <= self.last
 
-def blocks(page: str) -> list[tuple[str, _Node, int]]:
-    """The page's blocks of text: text with white space reduced, the element that it stands in, its characters inside links."""
-    root = _Node("#", "", None, 0)
-    stack, out, number = [root], [], 0
+
+def _read(page: str) -> tuple[list[tuple[str, _Node, int]], list[_Node]]:
+    """(the page's blocks of text: text with white space reduced, the element that it stands in, its characters inside links; all elements by number).
+
+    Work is in proportion to the page, however deep its elements stand: nothing walks up the open ones but to close them.
+    """
+    paths: dict[tuple[int, str, str], int] = {}
+    root = _Node("#", "", None, 0, paths)
+    stack, out, nodes, opened = [root], [], [root], defaultdict(int)
     parts: list[str] = []
-    home, linked, links = root, 0, 0
+    home, linked = root, 0
 
     def flush() -> None:
         nonlocal linked
@@ -101,26 +114,34 @@ def blocks(page: str) -> list[tuple[str, _Node, int]]:
         parts.clear()
         linked = 0
 
+    def close(size: int) -> None:
+        """Ends the elements from the stack's top down to `size` open ones."""
+        while len(stack) > size:
+            x = stack.pop()
+            x.last = nodes[-1].number
+            opened[x.tag] -= 1
+
     at, n = 0, len(page)
-    while at < n and (m := _TOKEN.match(page, at) or re.compile("<").match(page, at)):
+    while at < n and (m := _TOKEN.match(page, at) or _STRAY.match(page, at)):
         at = m.end()
         text = m[4] if m.re is _TOKEN else "<"
         if text is not None:
             if not parts:
-                home = next((x for x in reversed(stack) if x.tag not in _INLINE), root)
+                home = stack[-1].block
             parts.append(text)
-            linked += len(text.strip()) if links else 0
+            linked += len(text.strip()) if opened["a"] else 0
             continue
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(x.tag == tag for x in stack[1:]):
+            if opened[tag]:
                 if tag not in _INLINE:
                     flush()
-                while stack[-1].tag != tag:
-                    links -= stack.pop().tag == "a"
-                links -= stack.pop().tag == "a"
+                x = len(stack) - 1
+                while stack[x].tag != tag:
+                    x -= 1
+                close(x)
             continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -130,18 +151,40 @@ def blocks(page: str) -> list[tuple[str, _Node, int]]:
             parts.append(" ")
         elif tag not in _INLINE:
             flush()
-            for x in range(len(stack) - 1, 0, -1):  # end tags that HTML leaves out
-                if stack[x].tag in _CLOSES.get(tag, ()) or stack[x].tag == "p" or (tag in _HEADINGS and stack[x].tag in _HEADINGS):
-                    links -= sum(y.tag == "a" for y in stack[x:])
-                    del stack[x:]
-                elif stack[x].tag not in _INLINE and (tag not in _CLOSES or stack[x].tag in _SCOPE[tag]):
-                    break
+            ends = _CLOSES.get(tag, set()) | {"p"} | (_HEADINGS if tag in _HEADINGS else set())
+            if any(opened[e] for e in ends):
+                for x in range(len(stack) - 1, 0, -1):  # end tags that HTML leaves out
+                    if stack[x].tag in ends:
+                        close(x)
+                    elif stack[x].tag not in _INLINE and (tag not in _CLOSES or stack[x].tag in _SCOPE[tag]):
+                        break
         if tag not in _VOID and not m[3].endswith("/"):
-            number += 1
-            stack.append(_Node(tag, m[3], stack[-1], number))
-            links += tag == "a"
+            x = _Node(tag, m[3], stack[-1], len(nodes), paths)
+            nodes.append(x)
+            stack.append(x)
+            opened[tag] += 1
     flush()
-    return out
+    close(0)
+    _set_weak_apart(out, nodes)
+    return out, nodes
+
+
+def _set_weak_apart(found: list[tuple[str, _Node, int]], nodes: list[_Node]) -> None:
+    """An element whose class has the name of a part among other words is that part, unless it holds most of the page's text."""
+    if not any(x.weak for x in nodes):
+        return
+    held = [0] * len(nodes)
+    for text, x, inside in found:
+        held[x.number] += 0 if x.apart else len(text) - inside
+    for x in reversed(nodes[1:]):
+        held[x.parent.number] += held[x.number]
+    for x in nodes[1:]:
+        x.apart |= x.parent.apart or (x.weak and 2 * held[x.number] <= held[0])
+
+
+def blocks(page: str) -> list[tuple[str, _Node, int]]:
+    """The page's blocks of text: text with white space reduced, the element that it stands in, its characters inside links."""
+    return _read(page)[0]
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -149,7 +192,8 @@ def _smooth(x: list[float]) -> list[float]:
 
 
 def main_text(page: str) -> str:
-    found = [b for b in blocks(page) if not b[1].apart or (b[1].main and b[1].tag in _HEADINGS and b[1].parent.tag == "header")]
+    every, nodes = _read(page)
+    found = [b for b in every if not b[1].apart or (b[1].main and b[1].tag in _HEADINGS and b[1].parent.tag == "header")]
     if not found:
         return ""
     length, marks, count, linked = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
@@ -163,23 +207,20 @@ def main_text(page: str) -> str:
     fused = [(a * (b + 0.5)) ** 0.5 * (4 if x.main else 1) for a, b, (_, x, _) in zip(ratio, points, found, strict=True)]
     best = max(fused)
     weight = [f * len(t) if f >= THRESHOLD * best else 0.0 for f, (t, _, _) in zip(fused, found, strict=True)]
-    held, parent = defaultdict(float), {}
+    # what each element holds, and its child that holds most: children have higher numbers than their parents
+    held, heaviest = [0.0] * len(nodes), [0] * len(nodes)
     for w, (_, x, _) in zip(weight, found, strict=True):
-        while x is not None:
-            held[x.number] += w
-            parent[x.number] = x.parent.number if x.parent is not None else None
-            x = x.parent
-    below = defaultdict(list)
-    for x, p in parent.items():
-        if p is not None:
-            below[p].append(x)
+        held[x.number] += w
+    for x in reversed(nodes[1:]):
+        up = x.parent.number
+        held[up] += held[x.number]
+        if held[x.number] and (not heaviest[up] or held[x.number] >= held[heaviest[up]]):
+            heaviest[up] = x.number
     node = 0
-    while below[node] and held[child := max(below[node], key=held.__getitem__)] >= HELD * held[node] and held[child] > 0:
-        node = child
+    while heaviest[node] and held[heaviest[node]] >= HELD * held[node]:
+        node = heaviest[node]
     # a lone paragraph is not the article: its siblings and heading belong to it
-    holder = next(x for _, x, _ in found if _within(x, node))
-    while holder.number != node:
-        holder = holder.parent
+    holder = nodes[node]
     while holder.parent is not None and (holder.tag in _HEADINGS or holder.tag in ("p", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "tbody", "table", "dl", "dd", "section", "header")):
         holder = holder.parent
     x = holder
@@ -191,19 +232,13 @@ def main_text(page: str) -> str:
     kept = []
     for w, (t, x, _) in zip(weight, found, strict=True):
         plain = 2 * linked[x.path] < length[x.path]
-        if whole and _within(x, holder.number):
+        if whole and holder.holds(x):
             kept.append(t)
-        elif plain and w or _within(x, holder.number) and (plain or x.tag == "p" or x.tag in _HEADINGS):
+        elif plain and w or holder.holds(x) and (plain or x.tag == "p" or x.tag in _HEADINGS):
             kept.append(t)
     return "\n".join(kept)
 
 
-def _within(x: _Node | None, number: int) -> bool:
-    while x is not None and x.number != number:
-        x = x.parent
-    return x is not None
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages(page_id, url, html): page_id, url, text."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))

@@ -48,6 +48,97 @@ def test_ids_of_topics():
     assert main_text(f"<body>{page}{apart}</body>") == LINES + "\nRelated work\nA remark.\nOn prices, then.\nOn alerts."
 
 
+def test_classes_of_topics():
+    """A class that only mentions a part does not take the article with it; one that is a part does."""
+    for name in ("social-history", "related-work wide", "ad-hoc-networks", "comment-free-zone", "footer-less"):
+        assert main_text(f"<body>{MENU}<div class='{name}'><article>{BODY}</article></div>{MENU}</body>") == LINES, name
+        assert main_text(f"<body>{MENU}<div class='{name}'><div class=post>{BODY}</div></div>{MENU}</body>") == LINES, name
+        assert main_text(f"<body>{MENU}<article>{BODY}</article><div class='{name}'><p>Apart, and short.</p></div></body>") == LINES, name
+
+
+def test_tables_and_rest_of_the_article():
+    table = "<table><tr><th>Year<th>Sum<tr><td>1999<td>12<tr><td>2000<td><a href=/s>13</a></table>"
+    for tag in ("article", "main"):
+        want = LINES + "\nYear\nSum\n1999\n12\n2000\n13\nMore, after it."
+        assert main_text(f"<body>{MENU}<{tag}>{BODY}{table}<p>More, after it.</p></{tag}></body>") == want
+
+
+def test_deep_pages_take_time_and_memory_in_proportion():
+    import tracemalloc
+
+    took = []
+    for n in (10_000, 100_000):
+        tracemalloc.start()
+        assert main_text("<div>" * n + "<p>Hello, deep. Text.</p>") == "Hello, deep. Text."
+        assert main_text("<b>" * n + "Hello, deep." + "<div>And, more.</div>" * 100).startswith("Hello, deep.")
+        took.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert took[1] < 12 * took[0] and took[1] < 100 << 20
+
+
+def slow_text(page):
+    """Brute force for well-formed pages: a tree by the standard library's parser; parts go by tag, role and hidden alone; the rest of article by block."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.parts, self.out = [], [], []
+
+        def cut(self):
+            t = " ".join("".join(self.parts).split())
+            self.parts = []
+            if t and "article" in self.open and not {"nav", "aside", "footer", "form", "script", "style"} & set(self.open):
+                self.out.append(t)
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("b", "i", "a", "em", "span"):
+                self.cut()
+            self.open.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "a", "em", "span"):
+                self.cut()
+            self.open.pop()
+
+        def handle_data(self, data):
+            self.parts.append(data)
+
+    p = P()
+    p.feed(page)
+    return "\n".join(p.out)
+
+
+def test_against_brute_force():
+    import random
+
+    rng = random.Random(6)
+    words = "one two, three. four &amp; &eacute;t&eacute; &#8212; five; six!".split(" ")
+
+    def text():
+        return " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))
+
+    def inline():
+        return rng.choice(["{}", "<b>{}</b>", "<a href='/x'>{}</a>", "<em>{}</em> and", "<span class=w>{}</span>"]).format(text())
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "div", "section", "blockquote", "nav", "aside", "form"]) if depth else "p"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{inline()}</li>" for _ in range(rng.randrange(1, 4))) + "</ul>"
+        if kind in ("div", "section", "blockquote"):
+            return f"<{kind}>" + "\n".join(block(depth - 1) for _ in range(rng.randrange(1, 4))) + f"</{kind}>"
+        return f"<{kind}>{inline()} {inline()}</{kind}>"
+
+    for _ in range(300):
+        page = f"<html><body><nav>{inline()}</nav><article><h1>{text()}</h1>{''.join(block(3) for _ in range(rng.randrange(1, 8)))}</article><aside>{text()}</aside><footer>{inline()}</footer></body></html>"
+        assert main_text(page) == slow_text(page), page
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a, b.</p>", "t", "x")], "page_id long, url string, html string, text string, `a.b` string")
+    assert [tuple(r) for r in extract(df).collect()] == [(1, "u", "a, b.")]
+
+
 def test_odd_pages():
     assert main_text("") == "" and main_text("plain text,  here.") == "plain text, here."
     assert main_text("<article><p>1 < 2, and 3 > 2.</p></article>") == "1 < 2, and 3 > 2."
