@@ -2,18 +2,24 @@
 
 The distinct words of a batch lie as symbols in one flat array. A round looks up the rank of every pair of
 neighbours by binary search over the sorted pair keys, finds each word's lowest rank, and merges all of that
-word's pairs of that rank, from the left. Rounds end when no pair has a rank.
+word's pairs of that rank, from the left. Rounds end when no pair has a rank. A word of more than LONG bytes, in
+which nearly every pair of rules would cost a round, takes its pairs from a heap by rank and place instead: the same ids.
 
 The vocabulary file of a public tokenizer is a parameter. It is read on the driver, whose arrays (one row per
 merge rule, a few hundred kB, bounded by the file) go to the executors with the function.
 
-Defined cases: a null text counts as empty and has no ids; repeated rows are encoded each; other columns are ignored.
+A text longer than PIECE characters is encoded in pieces that end at white space, which no word holds.
+
+Defined cases: a null text counts as empty and has no ids; repeated rows are encoded each; other columns pass, but
+for those named like a result.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +37,10 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE_WORDS = 150_000
 #: Rows turned into ids at once.
 _ROWS = 512
+#: Bytes of a word beyond which a heap takes the place of rounds; it is not kept with its ids.
+LONG = 256
+#: Characters of a text that are turned into words at once.
+PIECE = 1 << 20
 
 
 def _byte_letters() -> list[str]:
@@ -103,12 +113,41 @@ def merge_words(v: Vocabulary, words: list[bytes]) -> list[bytes]:
     return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def merge_long(v: Vocabulary, rules: dict[int, int], word: bytes) -> bytes:
+    """The ids of one long word, as the bytes of an int32 array. rules: the rank of each pair's key."""
+    n = len(word)
+    last = np.zeros(n, np.int64)
+    last[-1] = 1
+    symbols = array("i", v.base[np.frombuffer(word, np.uint8), last].astype(np.int32).tobytes())
+    before, after = array("q", range(-1, n - 1)), array("q", range(1, n + 1))
+
+    def rank(i: int) -> int:
+        return rules.get((symbols[i] << 32) | symbols[after[i]], -1)
+
+    heap = [r << 40 | i for i in range(n - 1) if (r := rank(i)) >= 0]
+    heapq.heapify(heap)
+    while heap:
+        r, i = divmod(heapq.heappop(heap), 1 << 40)
+        j = after[i]
+        if symbols[i] < 0 or j >= n or rank(i) != r:  # one of the two has been merged since
+            continue
+        symbols[i], symbols[j] = v.made[r], -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+        for x in (before[i], i):
+            if x >= 0 and after[x] < n and (new := rank(x)) >= 0:
+                heapq.heappush(heap, new << 40 | x)
+    return np.array([x for x in symbols if x >= 0], np.int32).tobytes()
+
+
 class Encoder:
     """encode(texts) gives arrays of ids, decode(ids) the text; keeps the ids of words it has met, up to CACHE_WORDS."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.cache = v, {}
+        self.v, self.cache, self.rules = v, {}, {}
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+        self.space = regex.compile(f"[{_SPACE}]")
         self.special = regex.compile("|".join(map(regex.escape, sorted(v.special, key=len, reverse=True)))) if v.special else None
 
     def words(self, text: str) -> list[str]:
@@ -116,7 +155,21 @@ class Encoder:
         text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.word.findall(text.lower())
 
+    def pieces(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > PIECE:
+            m = self.space.search(text, at + PIECE)
+            end = m.end() if m else len(text)
+            yield text[at:end]
+            at = end
+        yield text[at:]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out = [None if len(t) > PIECE else t for t in texts]
+        some = iter(self._encode([t for t in out if t is not None]))
+        return [np.concatenate([self._encode([p])[0] for p in self.pieces(t)]) if o is None else next(some) for o, t in zip(out, texts, strict=True)]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         rows = []
         for t in texts:
             if self.special is None or not self.special.search(t):
@@ -133,9 +186,18 @@ class Encoder:
         new = [w for w in met if w not in self.cache]
         self.cache.update((w, np.int32(w).tobytes()) for w in new if not isinstance(w, str))
         plain = [w for w in new if isinstance(w, str)]
-        if plain:
-            self.cache.update(zip(plain, merge_words(self.v, [w.encode() for w in plain]), strict=True))
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, r)), np.int32) for r in rows]
+        bytes_ = [w.encode() for w in plain]
+        long = [(w, b) for w, b in zip(plain, bytes_, strict=True) if len(b) > LONG]
+        short = [(w, b) for w, b in zip(plain, bytes_, strict=True) if len(b) <= LONG]
+        if short:
+            self.cache.update(zip([w for w, _ in short], merge_words(self.v, [b for _, b in short]), strict=True))
+        if long and not self.rules:
+            self.rules = dict(zip(self.v.keys.tolist(), self.v.ranks.tolist(), strict=True))
+        self.cache.update((w, merge_long(self.v, self.rules, b)) for w, b in long)
+        found = [np.frombuffer(b"".join(map(self.cache.__getitem__, r)), np.int32) for r in rows]
+        for w, _ in long:
+            del self.cache[w]
+        return found
 
     def decode(self, ids: np.ndarray) -> str:
         """The file has no decoder: tokens joined by one space, special ones included."""
