@@ -11,7 +11,8 @@ the source then needs no length to find records. Archives whose blocks contain t
 the length check, never misread.
 
 Of records with equal payloads of at least `least` bytes the smallest page_id is the response and the others
-revisit it; found by a join on the digest, in which Spark may split a digest that has very many rows.
+revisit it; found by a join with the written table of each digest's smallest page_id, in which Spark may split a
+digest that has very many rows.
 
 Defined cases: a null html is an empty payload; a null url writes no target; a null page_id is kept (it is a
 response only if no other id has its payload); repeated rows with the smallest id are all responses; line
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, utf8
+from .shared import materialize, shared_folder, utf8
 
 CHUNK = 1 << 18
 _VERSION = b"WARC/1.1\r\n"
@@ -77,6 +78,7 @@ def tag(pages: DataFrame, least: int = 0) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     pages = pages.mapInArrow(_digests, "page_id long, url string, html string, payload_bytes long, payload_digest string")
     first = pages.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
+    first = materialize(first, "first")
     revisit = (F.col("payload_bytes") >= least) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     out = pages.join(first, "payload_digest", "left")
     return out.select(
@@ -132,7 +134,12 @@ def _segments(date: str):
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
-    """Writes a record per row of pages(page_id, url, html) below path, an archive file per task."""
+    """Writes a record per row of pages(page_id, url, html) below path, an archive file per task.
+
+    Only compressions that Spark reads as one split: in a split file a record's segments could fall to several tasks.
+    """
+    if compression not in ("gzip", "deflate"):
+        raise ValueError(f"archives can be compressed by gzip or deflate, not by {compression!r}: a reader would split such files inside records")
     rows = tag(pages, least).mapInArrow(_segments(date), "value string")
     rows.write.option("lineSep", "\r\n").option("compression", compression).text(path)
 
