@@ -1,6 +1,7 @@
 """Exact substring removal: Rabin-Karp hashes of every window of `window` words, counted over the corpus.
 
-Plan. Documents are dealt to parts of bounded size by a hash of their id. Each part sends every distinct
+Plan. Documents are dealt to parts of bounded size by a hash of id and text. Rows that repeat id and text so often
+that they would fill a part become one row with a number of copies, and are as many again in the result. Each part sends every distinct
 window hash once to the bucket of its high bits, as sorted packed arrays, so that a passage repeated a
 million times inside a part costs one entry. A bucket returns to each part the hashes that other parts
 hold too. The part, whose shuffled text is reused, marks windows that are returned or repeat inside the
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import span_hashes, steps, utf8, window_hashes, word_bounds
+from .shared import materialize, span_hashes, steps, utf8, window_hashes, word_bounds
 
 #: Bytes of text in a part: grows with the square root of the corpus between these bounds, so that packed arrays stay long.
 PART_BYTES = (8 << 20, 128 << 20)
@@ -83,9 +84,10 @@ def _remove(size: int):
         own.sort()
         repeated = np.union1d(shared, own[1:][own[1:] == own[:-1]])
         del own, shared
-        texts, spans, words, removed = [], [], [], []
-        for _, data, starts, ends, first, hashes, begins in _windows(docs, size):
-            hit = begins[np.isin(hashes, repeated)]
+        texts, spans, words, removed, copies = [], [], [], [], docs.column("copies").to_numpy()
+        for a, data, starts, ends, first, hashes, begins in _windows(docs, size):
+            row = a + np.searchsorted(first, begins, "right") - 1
+            hit = begins[np.isin(hashes, repeated) | (copies[row] > 1)]
             edge = np.zeros(len(starts) + 1, np.int32)
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + size, -1)
@@ -107,7 +109,7 @@ def _remove(size: int):
                 removed.append(n)
                 spans.append(_intervals(covered, lo, hi) if n else [])
         return pa.table({
-            "doc_id": docs.column("doc_id"), "kept_text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+            "doc_id": docs.column("doc_id"), "copies": docs.column("copies"), "kept_text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         })
 
@@ -116,15 +118,26 @@ def _remove(size: int):
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, kept_text (kept words joined by one space), n_words, n_removed, removed (intervals of words, end exclusive)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    keys = docs.groupBy("key").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    found = keys.agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most")).first()
+    total = found.total or 0
     size = min(max(PART_BYTES[0], 256 * math.isqrt(total)), PART_BYTES[1])
     parts = max(1, -(-total // size))
-    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    docs = _collapsed(docs, keys, size) if (found.most or 0) > size else docs.withColumn("copies", F.lit(1).cast("long"))
+    docs = docs.select("doc_id", "text", "copies", F.pmod("key", F.lit(parts)).alias("part"))
     sent = docs.groupBy("part").applyInArrow(_send(parts, window), "bucket long, part long, hashes binary")
     back = sent.groupBy("bucket").applyInArrow(_count, "part long, hashes binary")
-    schema = "doc_id long, kept_text string, n_words long, n_removed long, removed array<struct<start: long, end: long>>"
-    return docs.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_remove(window), schema)
+    schema = "doc_id long, copies long, kept_text string, n_words long, n_removed long, removed array<struct<start: long, end: long>>"
+    out = docs.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_remove(window), schema)
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+
+
+def _collapsed(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """docs in which rows of equal id and text are one where they have more than `size` bytes together. There are at most as many such keys as parts."""
+    hot = materialize(keys.filter(F.col("bytes") > size).select("key"), "hot")
+    one = docs.join(hot, "key", "left_semi").groupBy("key", "doc_id", "text").agg(F.count("*").alias("copies"))
+    return docs.join(hot, "key", "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(one)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

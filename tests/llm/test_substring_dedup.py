@@ -33,3 +33,19 @@ def test_against_brute_force(spark):
 def test_empty_and_short(spark):
     check(spark, [])
     check(spark, [(1, "one two"), (2, "one two")])
+
+
+def test_a_row_repeated_beyond_a_part(spark, monkeypatch):
+    """Equal rows that would fill a part are one row with copies; the result has them all."""
+    from sparkloom.llm import substring_dedup as sd
+
+    monkeypatch.setattr(sd, "PART_BYTES", (300, 300))
+    asked, collapse = [], sd._collapsed
+    monkeypatch.setattr(sd, "_collapsed", lambda *a: asked.append(1) or collapse(*a))
+    check(spark, [(7, "a b c d e f g h i j")] * 40 + [(None, "k l m n o p q")] * 60 + [(8, "x " * 400 + "y"), (9, "b c d e f"), (10, "one two"), (None, None)] + [(11, "z z")] * 150)
+    assert asked
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i * i % 99991}" for i in range(200_000))
+    check(spark, [(1, text), (2, text[1000:5000]), (3, "x" * 2_000_000)], size=35)
