@@ -4,11 +4,13 @@ P(grade <= j) is the logistic function of threshold[j] - score(text), with one s
 expected grade and the probability of the top grade both follow from it. The score is linear in hashed words
 (A-Z as a-z, ASCII punctuation at their ends apart), hashed shapes of words and punctuation, and repeats of
 the word before. Weights are fitted by Adagrad with an L1 penalty on a sample of at most about PER_GRADE
-rated documents of each grade, drawn by a hash of the id; the sample's ids are so few that they are broadcast.
+rated documents of each grade, drawn by a hash of the id; the sample's ids are so few that they are broadcast, and
+each gives one text, so that the driver gets no more rows than ids.
 Every document is then graded over its whole text.
 
 Defined cases: a null text counts as empty and gets the score of no words; ratings without grade, and rated
-documents without text, teach nothing; of several ratings of one id the lowest counts; without any rating
+documents without text, teach nothing; of several ratings of one id the lowest counts, of several texts the one with
+the smallest hash; without any rating
 every document gets the top grade; repeated rows are graded each; other columns are ignored by `learn` and
 kept by `grade`.
 """
@@ -85,6 +87,14 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
+def slopes(theta: np.ndarray, y: int, s: float) -> tuple[float, float]:
+    """Of -log P(grade y | score s): the derivatives by the thresholds above and below the grade. That by the score is minus their sum."""
+    up = 1 / (1 + np.exp(-np.clip(theta[y] - s, -30, 30))) if y < GRADES - 1 else 1.0
+    down = 1 / (1 + np.exp(-np.clip(theta[y - 1] - s, -30, 30))) if y else 0.0
+    p = max(up - down, 1e-9)
+    return -up * (1 - up) / p, down * (1 - down) / p
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], sizes: dict[int, int] | None = None) -> Model:
     """rows: buckets, values, grade. sizes: how many documents have each grade outside the sample, by which grades weigh."""
     w, gw = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
@@ -100,12 +110,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], sizes: dict[int, int] |
     for _ in range(PASSES):
         for i in order.permutation(len(rows)):
             at, v, y = rows[i]
-            # ends of the grade's interval on the score's axis; d is the gradient of -log P by each end and the score
-            s = float(w[at] @ v)
-            up = 1 / (1 + np.exp(-np.clip(theta[y] - s, -30, 30))) if y < GRADES - 1 else 1.0
-            down = 1 / (1 + np.exp(-np.clip(theta[y - 1] - s, -30, 30))) if y else 0.0
-            p = max(up - down, 1e-9)
-            du, dd = -up * (1 - up) / p * weigh[y], down * (1 - down) / p * weigh[y]
+            du, dd = (x * weigh[y] for x in slopes(theta, y, float(w[at] @ v)))
             if y < GRADES - 1:
                 gt[y] += du * du
                 theta[y] -= RATE * du / np.sqrt(gt[y])
@@ -144,6 +149,7 @@ def learn(docs: DataFrame, ratings: DataFrame) -> Model:
         share = F.when(F.col("grade") == g, F.lit(min(1.0, PER_GRADE / n))).otherwise(share)
     drawn = ratings.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < share * (1 << 20))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(drawn), "doc_id")  # about GRADES * PER_GRADE ids at most
+    rows = rows.groupBy("doc_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     sample = rows.select(F.xxhash64("doc_id", "text").alias("key"), F.col("grade").cast("long").alias("y"), "text").mapInArrow(_prepare, "key long, y long, at array<int>, v array<float>").toArrow().sort_by("key")
     at, v, y = sample.column("at").combine_chunks(), sample.column("v").combine_chunks(), sample.column("y").to_pylist()
     return fit([(at[i].values.to_numpy().astype(np.int64), v[i].values.to_numpy().astype(float), y[i]) for i in range(len(y))], sizes)

@@ -42,3 +42,65 @@ def test_features():
     text = "Moron, moron! x".encode()
     at, v = quality.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
     assert abs((v * v).sum() - 1) < 1e-9 and len(at) == 2 + 3 + 3 + 2
+
+
+def test_slopes_against_numeric_differences():
+    def loss(theta, y, s):
+        p = [1 / (1 + np.exp(-(t - s))) for t in theta]
+        return -np.log([p[0], p[1] - p[0], 1 - p[1]][y])
+
+    rng, e = np.random.default_rng(1), 1e-6
+    for _ in range(200):
+        theta, y, s = np.sort(rng.normal(size=2)) + [0, 0.1], int(rng.integers(3)), rng.normal() * 2
+        up, down = quality.slopes(theta, y, s)
+        for j, got in ((y, up), (y - 1, down)):
+            if 0 <= j < 2:
+                d = np.eye(2)[j] * e
+                assert abs(got - (loss(theta + d, y, s) - loss(theta - d, y, s)) / (2 * e)) < 1e-4
+        assert abs(-(up + down) - (loss(theta, y, s + e) - loss(theta, y, s - e)) / (2 * e)) < 1e-4
+
+
+def test_fit_against_a_plain_loop(monkeypatch):
+    """The same Adagrad steps with the L1 penalty, coordinate by coordinate in dictionaries."""
+    monkeypatch.setattr(quality, "PASSES", 2)
+    rng = random.Random(5)
+    data = [(np.array(sorted(rng.sample(range(40), 5))), np.array([rng.random() for _ in range(5)]), rng.randrange(3)) for _ in range(60)]
+    model = quality.fit(data)
+    count = [sum(r[2] == g for r in data) for g in range(3)]
+    w, g2, theta, t2 = {}, {}, [-1.0, 1.0], [1e-6, 1e-6]
+    order = np.random.default_rng(11)
+    for _ in range(2):
+        for i in order.permutation(len(data)):
+            at, v, y = data[i]
+            s = sum(w.get(b, 0.0) * x for b, x in zip(at.tolist(), v))
+            cdf = [0.0] + [1 / (1 + np.exp(s - t)) for t in theta] + [1.0]
+            weigh = count[y] / len(data) * len(data) / count[y]
+            p = cdf[y + 1] - cdf[y]
+            up, down = -cdf[y + 1] * (1 - cdf[y + 1]) / p * weigh, cdf[y] * (1 - cdf[y]) / p * weigh
+            for j, d in ((y, up), (y - 1, down)):
+                if 0 <= j < 2:
+                    t2[j] += d * d
+                    theta[j] -= quality.RATE * d / t2[j] ** 0.5
+            theta[1] = max(theta)
+            for b, x in zip(at.tolist(), v):
+                g = -(up + down) * x
+                g2[b] = g2.get(b, 1e-6) + g * g
+                step = quality.RATE / g2[b] ** 0.5
+                new = w.get(b, 0.0) - step * g
+                w[b] = max(new - step * quality.L1, 0) if new > 0 else min(new + step * quality.L1, 0)
+    assert np.allclose(model.thresholds, theta) and np.allclose(model.weights[:40], [w.get(b, 0.0) for b in range(40)])
+    scores = np.array([-3.0, 0.2, 4.0])
+    assert np.allclose(model.tails(scores), [[1 - 1 / (1 + np.exp(s - t)) for t in theta] for s in scores])
+
+
+def test_a_repeated_id_teaches_once(spark, monkeypatch):
+    """One rated id with thousands of rows must not fill the driver."""
+    sizes, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, sizes_=None: sizes.append(len(rows)) or fit(rows, sizes_))
+    df = spark.createDataFrame(rows(60, 3), "doc_id long, text string, y int")
+    many = spark.range(3000).selectExpr("5L doc_id", "concat('text ', id % 50) text", "0 y")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality.learn(df.union(many), quality.graded(labels))
+    assert sizes == [60]
+    again = quality.learn(df.union(many).repartition(7), quality.graded(labels))
+    assert np.allclose(model.weights, again.weights)
