@@ -2,8 +2,8 @@
 
 Document frequencies come from every learnable document, as one array per task summed by bucket. Weights are
 learned by follow-the-regularised-leader with elastic-net penalties on a sample of at most about PER_LANGUAGE
-documents of each language (a hash of the id decides; a language with fewer gives all), and a temperature is
-fitted on the part of the sample that the weights have not seen. Model and frequencies have a fixed size per
+documents of each language (a hash of the id decides; a language with fewer gives all; rows of one id teach once, so
+that the driver gets no more rows than ids), and a temperature is fitted on the part of the sample that the weights have not seen. Model and frequencies have a fixed size per
 language; they go to the executors with the function. Predictions read whole texts and nothing but texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without anything to learn from, all
@@ -122,6 +122,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, PER_LANGUAGE / n))).otherwise(share)
     drawn = rows.filter(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 20)) < share * (1 << 20))
+    first = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text", "lang"), "lang", "text")).alias("row")
+    drawn = drawn.groupBy("key").agg(first).select("key", "row.text", "row.lang")
     number = {x: i for i, x in enumerate(languages)}
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
