@@ -128,12 +128,14 @@ def latent_space(matrix: DataFrame, rank: int = RANK, power: int = POWER) -> tup
         return run
 
     for _ in range(1 + power):
-        parts = matrix.mapInArrow(multiply(buckets, basis), "bucket long, z array<double>").select("bucket", F.posexplode("z").alias("k", "z"))
-        found = parts.groupBy("bucket", "k").agg(F.sum("z").alias("z")).toArrow()
-        at, k, z = (found.column(c).to_numpy() for c in ("bucket", "k", "z"))
-        buckets, row = np.unique(at, return_inverse=True)
-        sketch = np.zeros((len(buckets), rank))
-        sketch[row, k] = z
+        parts = matrix.mapInArrow(multiply(buckets, basis), "bucket long, z array<double>")
+        # a bucket has a part from each task that holds rows of the matrix, of which there are no more than rows
+        total = F.aggregate(F.collect_list("z"), F.array_repeat(F.lit(0.0), rank), lambda x, y: F.zip_with(x, y, lambda p, q: p + q))
+        found = parts.groupBy("bucket").agg(total.alias("z")).toArrow().combine_chunks()
+        order = np.argsort(found.column("bucket").to_numpy())
+        buckets = found.column("bucket").to_numpy()[order]
+        z = pa.concat_arrays(found.column("z").chunks).flatten().to_numpy() if len(order) else np.zeros(0)
+        sketch = z.reshape(len(order), rank)[order]
         basis = np.linalg.svd(sketch, full_matrices=False)[0] if len(buckets) else sketch
         rank_now = basis.shape[1]
         if rank_now < rank:
