@@ -12,28 +12,52 @@ from pyspark.sql import functions as F
 from .shared import discard, materialize
 
 
+#: Edges that a task contracts at once: two dozen MB of arrays.
+EDGES = 1 << 19
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of edges as stars around their smallest ids, without repeats."""
+    nodes, at = np.unique(np.stack([a, b]), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch of edges: the same components as stars around their smallest ids, without repeats. Only makes later rounds fewer."""
+    """Of a task's edges: the same components as stars, EDGES at once. Only makes later rounds fewer."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def made() -> pa.RecordBatch:
+        x, y = _stars(np.concatenate(a), np.concatenate(b))
+        a[:], b[:] = [x], [y]
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
     for batch in batches:
-        ends = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-        nodes, at = np.unique(ends, return_inverse=True)
-        a, b = at.reshape(2, -1)
-        root = np.arange(len(nodes))
-        while True:
-            least = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, root[a], least)
-            np.minimum.at(new, root[b], least)
-            new = new[new]
-            if np.array_equal(new, root):
-                break
-            root = new
-        moved = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+        if sum(map(len, a)) >= EDGES:
+            out = made()
+            if 2 * out.num_rows >= EDGES:  # else the stars stay, to meet the next edges
+                yield out
+                a[:], b[:] = a[:0], b[:0]
+    if a:
+        yield made()
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    return materialize(edges.mapInArrow(contract, "a long, b long"), "edges")
+    """Repeats go by a shuffle whose small partitions Spark joins, so that few edges are one task's and done at once."""
+    return materialize(edges.distinct().mapInArrow(contract, "a long, b long"), "edges")
 
 
 def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:

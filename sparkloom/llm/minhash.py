@@ -47,6 +47,11 @@ SLACK = (0.2, 0.05)
 PORTION = 64
 #: Members of a long bucket with several components up to which they are paired as they are.
 FEW = 8
+#: Words of 64 bits in a set's bitmap.
+BITMAP = 16
+_BITMAP = [f"m{i}" for i in range(BITMAP)]
+#: Ids up to which they are sent to every task in place of a shuffle of all texts: some 24 MB.
+SENT_IDS = 1 << 20
 _BLOCK = 2048
 
 
@@ -146,12 +151,20 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with one of the ids, written. Few ids are sent to the tasks, so that no other text moves; more are joined by a shuffle."""
+    ids = materialize(ids.distinct(), "ids")
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    out = materialize(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "texts")
+    discard(ids)
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of written pairs (a, b, portion) those whose full sets reach the threshold. A centre's text goes once to each portion of its members."""
     wanted = pairs.select("a", "portion", F.lit(1).alias("member"), F.col("b").alias("id"))
     wanted = wanted.union(pairs.select("a", "portion", F.lit(0).alias("member"), F.col("a").alias("id")).distinct())
-    texts = docs.filter("text is not null").select(F.col("doc_id").alias("id"), "text")
-    rows = wanted.join(texts, "id").select("a", "portion", "member", "id", "text")
+    rows = wanted.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("a", "portion", "member", "id", "text")
     return rows.repartition("a", "portion").sortWithinPartitions("a", "portion", "member").mapInArrow(_confirm(words, percent), "a long, b long")
 
 
@@ -172,7 +185,7 @@ def _fine(words: int):
 
 
 def _shingles(words: int):
-    """(doc_id, component, text) to its set of shingles."""
+    """(doc_id, component, text) to its set of shingles and its bitmap: bit x % (64 * BITMAP) is set where the set holds x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +193,13 @@ def _shingles(words: int):
             for a, b in steps(offsets):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 n = np.array([len(x) for x in sets], np.int64)
-                shingles = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), shingles], names=["doc_id", "component", "n_shingles", "shingles"])
+                flat = np.concatenate(sets)
+                bits = np.zeros((len(sets), 64 * BITMAP), np.uint8)
+                bits[np.repeat(np.arange(len(sets)), n), (flat % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+                bitmap = np.packbits(bits, axis=1).view(np.int64)
+                shingles = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(flat.view(np.int64)))
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), shingles, *(pa.array(np.ascontiguousarray(c)) for c in bitmap.T)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "component", "n_shingles", "shingles", *_BITMAP])
 
     return run
 
@@ -236,40 +254,50 @@ def _long_stars(long: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n) of sets(row, doc_id, component, n_shingles, shingles) in different components that share one of their rarest shingles.
+    """Pairs (a, b, n) of sets(row, doc_id, component, n_shingles, shingles, bitmap) in different components that share one of their rarest shingles and may reach the threshold.
 
     Two sets that reach the threshold have a shingle in common even among the floor((100 - percent) * size / 100) + 1
     that stand first in any order of all shingles. Ordered by how many of the documents hold them, shingles that a
-    template spreads stand last, so that texts which share nothing else meet nowhere.
+    template spreads stand last, so that texts which share nothing else meet nowhere. Two bounds, exact as well, are
+    part of the join: only shingles that several components hold can be common to two components, and each bit that
+    one bitmap has and the other lacks is a shingle that is not common.
     """
-    tokens = sets.select("row", "doc_id", "component", "n_shingles", F.explode("shingles").alias("token"))
-    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).filter("c > 1"), "shared")
+    tokens = sets.select("row", F.col("component").alias("c"), "n_shingles", F.explode("shingles").alias("token"))
+    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("held"), F.min("c").alias("x"), F.max("c").alias("y")).filter("held > 1"), "shared")
     own = Window.partitionBy("row")
     # shingles that no other document holds stand before all these
-    rank = F.row_number().over(own.orderBy("c", "token")) + F.col("n_shingles") - F.count("*").over(own)
-    first = tokens.join(shared, "token").withColumn("rank", rank).filter(f"rank <= (({100 - percent} * n_shingles) div 100) + 1 and x <> y")
-    first = materialize(first.select("token", "doc_id", "component", "n_shingles"), "prefixes")
-    groups = materialize(first.groupBy("token").agg(F.min("component").alias("home"), F.max("component").alias("last"), F.count("*").alias("n")).filter("home <> last").drop("last"), "tokens")
-    strays = materialize(first.join(groups, "token").filter("component <> home").select("token", "doc_id", "component", "n_shingles", "n"), "strays")
-    out = materialize(_across(strays, first, "token", percent), "rare")
+    rank = F.row_number().over(own.orderBy("held", "token")) + F.col("n_shingles") - F.count("*").over(own)
+    first = tokens.join(shared, "token").withColumn("rank", rank).withColumn("common", F.count(F.when(F.col("x") != F.col("y"), 1)).over(own))
+    first = first.filter(f"x <> y and 100 * common >= {percent} * n_shingles and rank <= (({100 - percent} * n_shingles) div 100) + 1").select("token", "row", "common")
+    first = materialize(first.join(sets.drop("shingles"), "row").drop("row"), "prefixes")
+    groups = first.groupBy("token").agg(F.min("component").alias("home"), F.max("component").alias("last"), F.count("*").alias("n")).filter("home <> last").drop("last")
+    groups = materialize(groups, "tokens")
+    strays = materialize(first.join(groups, "token").filter("component <> home").drop("home"), "strays")
+    out = materialize(_across(strays, first, "token", percent, bounds=True), "rare")
     discard(shared, first, groups, strays)
     return out
 
 
-def _across(left: DataFrame, right: DataFrame, key: str, percent: int) -> DataFrame:
-    """Pairs (a, b, n), each once, of rows of one key in different components whose sizes admit the threshold."""
-    right = right.select(key, F.col("doc_id").alias("other"), F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"))
+def _across(left: DataFrame, right: DataFrame, key: str, percent: int, bounds: bool = False) -> DataFrame:
+    """Pairs (a, b, n), each once, of rows of one key in different components whose sizes, and bounds on what they have in common, admit the threshold."""
+    other = {"doc_id": "other", "component": "component_b", "n_shingles": "n_b", "common": "common_b"} | {m: f"{m}_b" for m in _BITMAP}
+    right = right.select(key, *(F.col(c).alias(n) for c, n in other.items() if c in right.columns))
     met = left.join(right, key).filter("component <> component_b").filter(f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)")
+    if bounds:
+        alone = " + ".join(f"bit_count({m} & ~{m}_b)" for m in _BITMAP)
+        alone_b = " + ".join(f"bit_count({m}_b & ~{m})" for m in _BITMAP)
+        enough = f"{100 + percent} * {{}} >= {percent} * (n_shingles + n_b)".format
+        met = met.filter(enough("least(common, common_b)")).filter(enough(f"(n_shingles - ({alone}))")).filter(enough(f"(n_b - ({alone_b}))"))
     return met.groupBy(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).agg(F.max("n").alias("n"))
 
 
-def _rest(members: DataFrame, long: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _rest(members: DataFrame, long: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b, n) of members of mixed long buckets in different components."""
-    sizes = long.select("doc_id", "n_shingles").distinct()
-    few = materialize(members.filter(F.col("n") <= FEW).join(sizes, "doc_id"), "few")
+    few = materialize(members.filter(F.col("n") <= FEW).join(long.select("doc_id", "n_shingles").distinct(), "doc_id"), "few")
     pairs = _across(few, few, "bucket", percent)
     many = materialize(members.filter(F.col("n") > FEW).select("doc_id", "component").distinct(), "many")
-    sets = many.join(docs, "doc_id").select("doc_id", "component", "text").mapInArrow(_shingles(words), "doc_id long, component long, n_shingles long, shingles array<long>")
+    schema = "doc_id long, component long, n_shingles long, shingles array<long>, " + ", ".join(f"{m} long" for m in _BITMAP)
+    sets = many.join(texts, "doc_id").select("doc_id", "component", "text").mapInArrow(_shingles(words), schema)
     sets = materialize(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     rare = _rare_pairs(sets, percent)
     out = materialize(pairs.unionByName(rare).groupBy("a", "b").agg(F.max("n").alias("n")), "rest")
@@ -288,27 +316,28 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     classes = materialize(sets.groupBy("k1", "k2", "n_shingles").agg(rep).select("k1", "k2", "n_shingles", "rep.*"), "classes")
 
     members, pairs = _stars(classes)
+    texts = _texts(docs, members.select(F.col("b").alias("doc_id")))
     sifted = _sifted(pairs, classes, percent, SLACK[0], BANDS * ROWS, BITS)
-    links = materialize(_verified(sifted, docs, words, percent), "links")
-    done = [members, pairs, sifted]
+    links = materialize(_verified(sifted, texts, words, percent), "links")
+    done = [members, pairs, sifted, texts]
     found = components(links)
     scattered = _mixed(members.select("bucket", F.col("b").alias("doc_id")), found)
     done += [found, scattered]
     if not scattered.isEmpty():
-        long = scattered.select("doc_id", "component").distinct().join(docs, "doc_id").select("doc_id", "component", "text")
+        long = scattered.select("doc_id", "component").distinct().join(texts, "doc_id").select("doc_id", "component", "text")
         long = materialize(long.mapInArrow(_fine(words), "doc_id long, component long, n_shingles long, bands array<long>, sketch array<long>"), "long")
         members, pairs = _long_stars(long)
         sifted = _sifted(pairs, long, percent, SLACK[1], FINE[0] * FINE[1], FINE[2])
-        more = materialize(links.union(_verified(sifted, docs, words, percent)), "links")
+        more = materialize(links.union(_verified(sifted, texts, words, percent)), "links")
         done += [long, members, pairs, sifted, links]
         found = components(more)
         mixed = _mixed(members.select("bucket", "doc_id"), found)
         done += [found, mixed]
         links = more
         if not mixed.isEmpty():
-            rest = _rest(mixed, long, docs, words, percent)
+            rest = _rest(mixed, long, texts, words, percent)
             sifted = _sifted(rest, long, percent, SLACK[1], FINE[0] * FINE[1], FINE[2])
-            links = materialize(more.union(_verified(sifted, docs, words, percent)), "links")
+            links = materialize(more.union(_verified(sifted, texts, words, percent)), "links")
             done += [rest, sifted, more]
 
     twice = materialize(sets.groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x <> y").select("doc_id"), "twice")

@@ -96,3 +96,50 @@ def test_components_of_a_hub_and_chains(spark):
     got = {r.id: r.component for r in components(df).collect()}
     assert got == {i: 0 for i in range(900)} | {5000 + i: 5000 for i in range(200)}
     assert components(spark.createDataFrame([(None, 1), (2, None), (3, 3)], "a long, b long")).count() == 0
+
+
+def test_components_in_small_portions(spark, monkeypatch):
+    """Tasks that contract a few edges at once need more rounds and find the same."""
+    from sparkloom.llm import components as c
+
+    rng = random.Random(4)
+    edges = [(i, i - 1) for i in range(1, 300)] + [(1000 + i, 1000 + rng.randrange(i)) for i in range(1, 300)]
+    rng.shuffle(edges)
+    want = {i: 0 for i in range(300)} | {1000 + i: 1000 for i in range(300)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for size in (1, 40, 10**6):
+        monkeypatch.setattr(c, "EDGES", size)
+        with_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+        try:
+            import pyarrow as pa
+
+            batches = [pa.RecordBatch.from_pydict({"a": [x], "b": [y]}) for x, y in edges]
+            out = [(x, y) for b in c.contract(iter(batches)) for x, y in zip(*b.to_pydict().values())]
+            left = components(spark.createDataFrame(out, "a long, b long")).collect()
+            assert {r.id: r.component for r in left} == want
+            if size > 40:
+                assert {r.id: r.component for r in components(df).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_batches)
+
+
+def test_rare_pairs_lose_nothing(spark):
+    """Every pair of different components that reaches the threshold is among the pairs by rarest shingles, and most others are not."""
+    from sparkloom.llm import minhash
+
+    rng, rows = random.Random(12), []
+    for g in range(6):
+        base = [f"{g}b{i}" for i in range(rng.choice([20, 80, 300]))]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randrange(1 + len(w) // 12)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), rng.choice([len(rows), 1000 + g]), " ".join(w[: rng.randrange(len(w) * 3 // 4, len(w)) + 1])))
+    schema = "doc_id long, component long, n_shingles long, shingles array<long>, " + ", ".join(f"{m} long" for m in minhash._BITMAP)
+    sets = spark.createDataFrame(rows, "doc_id long, component long, text string").mapInArrow(minhash._shingles(5), schema)
+    sets = minhash.materialize(sets.withColumn("row", minhash.F.monotonically_increasing_id()), "sets")
+    got = {(r.a, r.b) for r in minhash._rare_pairs(sets, 75).collect()}
+    s = {r.doc_id: (r.component, set(r.shingles)) for r in sets.collect()}
+    want = {(a, b) for a in s for b in s if a < b and s[a][0] != s[b][0] and 100 * len(s[a][1] & s[b][1]) >= 75 * len(s[a][1] | s[b][1])}
+    assert len(want) > 50 and want <= got and len(got) < 3 * len(want) and all(a < b and s[a][0] != s[b][0] for a, b in got)
