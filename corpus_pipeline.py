@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontaminate, minhash, quality, secrets
-from sparkloom.llm.shared import materialize
+from sparkloom.llm.shared import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -82,5 +82,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
