@@ -17,7 +17,7 @@ Plan.
 5. Components of the links give each document the smallest id that it can reach.
 
 A pair of similarity s shares a band with probability 1 - (1 - s**rows)**bands: at 0.75, with 50 bands of 5
-rows, all but 1 in 1,700,000; with 200 bands of 10, all but 1 in 100,000. Sifts admit what a sketch puts up to `slack` below the threshold: SLACK is over four
+rows, all but 1 in 750,000; with 200 bands of 10, all but 1 in 100,000. Sifts admit what a sketch puts up to `slack` below the threshold: SLACK is over four
 standard deviations of either sketch.
 
 Defined cases: a text without words, or a null one, has an empty set and is linked with nothing; one with
