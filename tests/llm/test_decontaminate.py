@@ -93,3 +93,27 @@ def test_common():
         for i, x in enumerate(a):
             mask[x] = mask.get(x, 0) | 1 << i
         assert dc._common(mask, len(a), b) == t[-1][-1]
+
+
+def test_recall_by_length(spark):
+    """Verbatim and paraphrased (each tenth word changed, two sentences' words swapped at every fortieth) passages of 20 to 2,000 words, in other text."""
+    rng, found = random.Random(21), {}
+    common = [f"c{i}" for i in range(60)]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    items, docs = [], []
+    for n in (20, 60, 300, 1000, 2000):
+        for _ in range(4):
+            i = len(items)
+            w = [word() for _ in range(n)]
+            items.append((i, " ".join(w)))
+            other = [word() if k % 10 == 7 else x for k, x in enumerate(w)]
+            for k in range(19, n - 1, 40):
+                other[k], other[k + 1] = other[k + 1], other[k]
+            for kind, x in ((0, w), (1, other)):
+                docs.append((2 * i + kind, " ".join([*(word() for _ in range(80)), *x, *(word() for _ in range(80))])))
+    docs += [(-1 - i, " ".join(word() for _ in range(600))) for i in range(20)]
+    for r in dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect():
+        assert r.doc_id >= 0 or not r.contaminated
+        if r.doc_id >= 0:
+            found.setdefault((len(items[r.doc_id // 2][1].split()), r.doc_id % 2), []).append(r.doc_id // 2 in r.item_ids)
+    assert len(found) == 10 and all(np.mean(x) >= 0.9 for x in found.values()), found
