@@ -73,7 +73,7 @@ def test_deep_pages_take_time_and_memory_in_proportion():
         assert main_text("<b>" * n + "Hello, deep." + "<div>And, more.</div>" * 100).startswith("Hello, deep.")
         took.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
-    assert took[1] < 12 * took[0] and took[1] < 100 << 20
+    assert took[1] < 30 * took[0] and took[1] < 100 << 20  # tables grow by doubling; the square would be 100 times
 
 
 def slow_text(page):
