@@ -6,12 +6,13 @@ from .fingerprints import op2_fingerprints
 from .html_text import op6_html_text
 from .language import op4_language
 from .minhash import op1_minhash
+from .packing import op12_packing
 from .quality import op7_quality
 from .secrets import RULES, op5_secrets
 from .substring_dedup import op8_substring_dedup
 from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprints, op3_decontaminate, op4_language, op5_secrets, op6_html_text, op7_quality, op8_substring_dedup, op9_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprints, op3_decontaminate, op4_language, op5_secrets, op6_html_text, op7_quality, op8_substring_dedup, op9_bpe, op10_warc, op12_packing)}
 
 _MINHASH = r"""
 WITH RECURSIVE words AS (
