@@ -1,18 +1,20 @@
 """The registered queries of this subpackage and, where SQL can express one, its SQL for DuckDB."""
 
 from .bpe import op9_bpe
+from .clustering import op11_clustering
 from .decontaminate import op3_decontaminate
 from .fingerprints import op2_fingerprints
 from .html_text import op6_html_text
 from .language import op4_language
 from .minhash import op1_minhash
+from .negatives import op13_negatives
 from .packing import op12_packing
 from .quality import op7_quality
 from .secrets import RULES, op5_secrets
 from .substring_dedup import op8_substring_dedup
 from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprints, op3_decontaminate, op4_language, op5_secrets, op6_html_text, op7_quality, op8_substring_dedup, op9_bpe, op10_warc, op12_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_fingerprints, op3_decontaminate, op4_language, op5_secrets, op6_html_text, op7_quality, op8_substring_dedup, op9_bpe, op10_warc, op11_clustering, op12_packing, op13_negatives)}
 
 _MINHASH = r"""
 WITH RECURSIVE words AS (
@@ -68,4 +70,31 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS p
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM d
 """
 
-SQL: dict[str, str] = {"op1_minhash": _MINHASH, "op5_secrets": _secrets(), "op8_substring_dedup": _SUBSTRINGS, "op10_warc": _WARC}
+
+def _clustering() -> str:
+    """A round after another, each with vectors of (cluster, vector) and the centroids that follow from them."""
+    near = "SELECT vec_id, any_value(v) AS v, arg_min(k, {{d: d, k: k}}) AS k, min(d) AS d FROM (SELECT vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{r}) GROUP BY vec_id".replace("{{", "{").replace("}}", "}")
+    rounds = ""
+    for r in range(10):
+        rounds += f"""), a{r} AS MATERIALIZED ({near.replace("{r}", str(r))}
+), s{r} AS (SELECT k, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS x FROM a{r}, range(1, 65) t(i) GROUP BY k, i
+), c{r + 1} AS MATERIALIZED (SELECT k, coalesce((SELECT list(x ORDER BY i) FROM s{r} WHERE s{r}.k = c{r}.k), c) AS c FROM c{r}
+"""
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64
+), c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1)::INT AS k, v AS c FROM kept QUALIFY k < 8
+{rounds}), z AS ({near.replace("{r}", "10")})
+SELECT vec_id, z.k AS cluster, d AS distance, sum(d) OVER (PARTITION BY z.k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM z JOIN c10 USING (k)
+"""
+
+
+_NEGATIVES = """
+WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS s FROM r a, r b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b)::INT AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s QUALIFY rank <= 10
+"""
+
+SQL: dict[str, str] = {"op1_minhash": _MINHASH, "op5_secrets": _secrets(), "op8_substring_dedup": _SUBSTRINGS, "op10_warc": _WARC, "op11_clustering": _clustering(), "op13_negatives": _NEGATIVES}

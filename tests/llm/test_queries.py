@@ -10,7 +10,7 @@ DIR = "/root/testdata/sf0.001"
 
 def oracle(sql, where):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{where}/{t}.parquet')")
     r = c.sql(sql)
     return r.columns, r.fetchall()
