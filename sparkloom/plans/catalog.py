@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.json_text import number_field, words
+from sparkloom.operators.communities import communities
 from sparkloom.operators.graph import hubs
 from sparkloom.operators.relational import as_of, gaps, latest, missing, ordered_text, share_of_group, top_per_group
 from sparkloom.sources.tables import table
@@ -137,3 +138,24 @@ def words_by_language(spark, sf_dir) -> DataFrame:
 @query("SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn, role) AS roles FROM conversations GROUP BY 1")
 def conversation_shapes(spark, sf_dir) -> DataFrame:
     return ordered_text(table(spark, sf_dir, "conversations", "conv_id", "turn", "role"), "conv_id", "turn", "role", ">", "n_turns", "roles")
+
+
+def _communities(rounds: int) -> str:
+    text = """WITH e AS MATERIALIZED (SELECT a AS node, b AS other, w FROM p UNION ALL SELECT b, a, w FROM p), p AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, count(*) AS w FROM lineitem GROUP BY ALL
+), m AS (SELECT sum(w) AS m FROM e), s0 AS (SELECT node, sum(w) AS degree, node AS community FROM e GROUP BY 1
+"""
+    for r in range(rounds):
+        text += f"""), c{r} AS (SELECT community, sum(degree) AS mass, count(*) AS members FROM s{r} GROUP BY 1
+), n{r} AS (SELECT node, target, sum(w) AS w FROM (SELECT e.node, t.community AS target, w FROM e JOIN s{r} t ON t.node = e.other UNION ALL SELECT node, community, 0 FROM s{r}) GROUP BY ALL
+), b{r} AS (SELECT s.node, target FROM n{r} n JOIN s{r} s USING (node) JOIN c{r} o ON o.community = s.community JOIN c{r} c ON c.community = target, m
+  WHERE (md5(s.node)[1] >= '8') = {r % 2 == 1} AND (target = s.community OR o.members > 1 OR c.members > 1 OR target < s.community)
+  QUALIFY row_number() OVER (PARTITION BY s.node ORDER BY m.m * w - s.degree * (c.mass - CASE WHEN target = s.community THEN s.degree ELSE 0 END) DESC, target <> s.community, target) = 1
+), s{r + 1} AS MATERIALIZED (SELECT node, degree, coalesce(target, community) AS community FROM s{r} LEFT JOIN b{r} USING (node)
+"""
+    return text + f") SELECT node, community FROM s{rounds}"
+
+
+@query(_communities(4))
+def supply_communities(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey")
+    return communities(lines.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")), 4)
