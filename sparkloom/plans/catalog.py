@@ -141,8 +141,8 @@ def conversation_shapes(spark, sf_dir) -> DataFrame:
 
 
 def _communities(rounds: int) -> str:
-    text = """WITH e AS MATERIALIZED (SELECT a AS node, b AS other, w FROM p UNION ALL SELECT b, a, w FROM p), p AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, count(*) AS w FROM lineitem GROUP BY ALL
-), m AS (SELECT sum(w) AS m FROM e), s0 AS (SELECT node, sum(w) AS degree, node AS community FROM e GROUP BY 1
+    text = """WITH p AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, count(*) AS w FROM lineitem GROUP BY ALL
+), e AS MATERIALIZED (SELECT a AS node, b AS other, w FROM p UNION ALL SELECT b, a, w FROM p), m AS (SELECT sum(w) AS m FROM e), s0 AS (SELECT node, sum(w) AS degree, node AS community FROM e GROUP BY 1
 """
     for r in range(rounds):
         text += f"""), c{r} AS (SELECT community, sum(degree) AS mass, count(*) AS members FROM s{r} GROUP BY 1

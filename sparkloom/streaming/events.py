@@ -13,8 +13,10 @@ _NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream, with the files' own schema."""
+    """A folder of Parquet files, or one such file, as a stream, with the files' own schema."""
     schema = spark.read.parquet(path).schema
+    path = path.rstrip("/")
+    path = f"{path[:-1]}[{path[-1]}]"  # a pattern that fits this name alone: only a pattern may stand for a file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 

@@ -31,8 +31,8 @@ SESSIONS = "user_id long, first long, last long, n_events long, cents long, firs
 class SessionFold(StatefulProcessor):
     """Of a user: spans of events not further apart than the gap, each given out once the watermark has passed its end.
 
-    A new event joins the spans that it reaches, so that state is a row for each open span, and the ids of their
-    events, by which a repeated one is known. One timer is set for the earliest end.
+    A new event joins the spans that it reaches, so that state is a row for each open span. One timer is set for the
+    earliest end. Repeated events must have been dropped.
     """
 
     def __init__(self, gap: int):
@@ -41,7 +41,6 @@ class SessionFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.spans = handle.getListState("spans", _SPAN)
-        self.ids = handle.getMapState("ids", "event_id long", "at long")
         self.alarm = handle.getValueState("alarm", "at long")
 
     def _set(self, spans: list[tuple]) -> None:
@@ -62,9 +61,6 @@ class SessionFold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         spans = [tuple(s) for s in self.spans.get()]
         for r in rows:
-            if self.ids.containsKey((r.event_id,)):
-                continue
-            self.ids.updateValue((r.event_id,), (r.at,))
             new = (r.at, r.at, 1, r.cents, r.event_type, r.event_id, r.event_type, r.event_id)
             apart = []
             for s in spans:
@@ -83,11 +79,6 @@ class SessionFold(StatefulProcessor):
         self.alarm.clear()  # Spark removes the timer that rings
         spans = [tuple(s) for s in self.spans.get()]
         over = [s for s in spans if s[1] + self.gap <= now]
-        if over:
-            last = max(s[1] for s in over)
-            for (event_id,), (at,) in list(self.ids.iterator()):
-                if at <= last:
-                    self.ids.removeKey((event_id,))
         self._set([s for s in spans if s[1] + self.gap > now])
         for s in sorted(over):
             yield Row(user_id=key[0], first=s[0], last=s[1], n_events=s[2], cents=s[3], first_type=s[4], last_type=s[6])
@@ -115,7 +106,7 @@ def closed_sessions(events: DataFrame, gap: int = 1800, late: int = 7200) -> Dat
     rows = rows.filter("event_id is not null and ts is not null and user_id is not null")
     if events.isStreaming:
         state_store(events.sparkSession)
-        timed = rows.withWatermark("ts", f"{late} seconds").withColumn("at", F.unix_micros("ts"))
+        timed = rows.withWatermark("ts", f"{late} seconds").dropDuplicatesWithinWatermark(["event_id"]).withColumn("at", F.unix_micros("ts"))
         return _named(timed.groupBy("user_id").transformWithState(SessionFold(gap * 1_000_000), SESSIONS, "append", "EventTime"))
     now = F.unix_millis(F.max("ts")) - late * 1000
     once = materialize(rows.dropDuplicates(["event_id"]), "once")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sparkloom.plans import catalog
+from sparkloom.plans import catalog, integrity, state  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
@@ -17,7 +17,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_like_sql(spark, name):
     c = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents labels pages conversations".split():
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     want = c.sql(catalog.SQL[name])
     got = catalog.QUERIES[name](spark, DIR)
