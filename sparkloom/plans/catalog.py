@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.json_text import number_field, words
 from sparkloom.operators.communities import communities
 from sparkloom.operators.graph import hubs
+from sparkloom.operators.links import targets
 from sparkloom.operators.relational import as_of, gaps, latest, missing, ordered_text, share_of_group, top_per_group
 from sparkloom.sources.tables import table
 from sparkloom.streaming.events import counts_by_window
@@ -159,3 +160,13 @@ def _communities(rounds: int) -> str:
 def supply_communities(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey")
     return communities(lines.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")), 4)
+
+
+#: The given pages hold links from the root only; scheme and host of a URL are lower case there, without a port.
+_LINKS = r"""WITH l AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') || regexp_replace(h, '#.*$', '') AS target FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages)
+), n AS (SELECT regexp_replace(url, '#.*$', '') AS url, min(page_id) AS page_id FROM pages GROUP BY 1)"""
+
+
+@query(_LINKS + " SELECT target, count(*) AS n_links, count(DISTINCT l.page_id) AS n_pages, any_value(n.page_id) AS page_id FROM l LEFT JOIN n ON n.url = target GROUP BY target")
+def link_targets(spark, sf_dir) -> DataFrame:
+    return targets(table(spark, sf_dir, "pages", "page_id", "url", "html"))
