@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.json_text import number_field, words
+from sparkloom.functions.objects import Field, json_spans, typed
 from sparkloom.operators.communities import communities
 from sparkloom.operators.graph import hubs
 from sparkloom.operators.links import targets
@@ -170,3 +171,17 @@ _LINKS = r"""WITH l AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*')
 @query(_LINKS + " SELECT target, count(*) AS n_links, count(DISTINCT l.page_id) AS n_pages, any_value(n.page_id) AS page_id FROM l LEFT JOIN n ON n.url = target GROUP BY target")
 def link_targets(spark, sf_dir) -> DataFrame:
     return targets(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 6 AS c, props, json_extract(props, '$.k')::BIGINT AS k FROM events)
+SELECT event_id, CASE WHEN c IN (1, 2) THEN 2 WHEN c IN (0, 4) THEN 1 ELSE 0 END AS n_objects, CASE WHEN c < 2 THEN k END AS k, CASE WHEN c < 2 THEN NULL WHEN c IN (2, 4) THEN 'k: type' ELSE 'no text' END AS reason FROM e""")
+def records_in_notes(spark, sf_dir) -> DataFrame:
+    """Notes of six kinds are made of the events: their JSON alone, in prose with stray quotes and braces, of wrong types, and none."""
+    kinds = (
+        "props", """concat('note "', event_type, ': ', props, ' {', props)""", """concat('{"k": "', event_id, '"} and {"key": ', event_id, '}')""", "'[1, 2] }{ \"'", """concat('{"key": ', event_id % 100, '.5}')""", "null",
+    )
+    note = F.expr("case event_id % 6 " + " ".join(f"when {i} then {x}" for i, x in enumerate(kinds)) + " end")
+    found = table(spark, sf_dir, "events", "event_id", "event_type", "props").select("event_id", json_spans(note).alias("o"))
+    found = found.select("event_id", F.coalesce(F.size("o"), F.lit(0)).alias("n_objects"), F.try_element_at("o", F.lit(1)).getField("json").alias("json"))
+    found = found.withColumn("n_objects", F.greatest("n_objects", F.lit(0)))
+    return typed(found, "json", [Field("k", "bigint", ("k", "key"))]).drop("json")
