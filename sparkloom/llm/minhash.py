@@ -58,7 +58,7 @@ _BLOCK = 2048
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     """Of each row: the sorted distinct 64-bit hashes of its runs of `words` words, A-Z as a-z."""
     starts, ends, first = word_bounds(data, offsets)
-    each = span_hashes(data, starts, ends, fold=True)
+    each = span_hashes(data, starts, ends, fold=True, twice=True)
     runs = window_hashes(each, words)
     out = []
     for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):

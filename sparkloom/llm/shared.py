@@ -107,8 +107,18 @@ def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return lo, np.where((hi > lo) & (hi <= ends), hi, lo)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; fold: A-Z count as a-z."""
+#: Bytes from which on a span gets a second hash: a polynomial modulo 2**64 has structured collisions (Thue-Morse words), from some 500 letters on.
+_LONG_SPAN = 64
+
+
+def _multilinear(letters: np.ndarray) -> np.uint64:
+    """The sum of each byte's number times a number of its place: no base, so no structure that its powers share."""
+    places = mix(np.arange(1, len(letters) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return (letters * places).sum(dtype=np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, twice: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; fold: A-Z count as a-z; twice: long spans get the second hash as well."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((_FOLDED if fold else _BYTES)[data] * powers(_BASE, n), out=sums[1:])
@@ -116,6 +126,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     h -= sums[starts]
     h *= powers(_INVERSE, n + 1)[starts]
     h += (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    for i in np.flatnonzero(ends - starts >= _LONG_SPAN).tolist() if twice else ():
+        h[i] ^= mix(_multilinear((_FOLDED if fold else _BYTES)[data[starts[i] : ends[i]]])[None])[0]
     return mix(h)
 
 

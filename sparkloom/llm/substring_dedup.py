@@ -33,7 +33,7 @@ def _windows(table: pa.Table, size: int):
     for a, b in steps(offsets):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = word_bounds(part, at)
-        hashes = window_hashes(span_hashes(part, starts, ends, fold=False), size)
+        hashes = window_hashes(span_hashes(part, starts, ends, fold=False, twice=True), size)
         left = np.repeat(first[1:], np.diff(first)) - np.arange(len(starts))
         begins = np.flatnonzero(left >= size)
         yield a, part, starts, ends, first, hashes[begins], begins

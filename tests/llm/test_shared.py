@@ -1,4 +1,6 @@
-from sparkloom.llm.shared import BATCH_BYTES, bound_batches
+import pyarrow as pa
+
+from sparkloom.llm.shared import BATCH_BYTES, bound_batches, span_hashes, utf8
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -14,3 +16,27 @@ def test_batches_are_bounded_only_where_the_session_sets_nothing(spark):
         assert spark.conf.get(KEY) == "32m"
     finally:
         spark.conf.set(KEY, before) if before else spark.conf.unset(KEY)
+
+
+def thue_morse(a, b, n):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_long_words_of_other_letters_differ():
+    """Complementary Thue-Morse words, for which every polynomial modulo 2**64 gives one value."""
+    words = [thue_morse(a, b, n) for n in (512, 1024, 2048, 4096) for a, b in (("a", "b"), ("b", "a"), ("k", "q"), ("q", "k"))]
+    data, offsets = utf8(pa.array(words))
+    assert len(set(span_hashes(data, offsets[:-1], offsets[1:], fold=True, twice=True).tolist())) == len(words)
+    again, at = utf8(pa.array(["x", *words[::-1]]))
+    assert span_hashes(again, at[1:-1], at[2:], fold=True, twice=True)[::-1].tolist() == span_hashes(data, offsets[:-1], offsets[1:], fold=True, twice=True).tolist()
+
+
+def test_such_words_are_not_linked_nor_removed(spark):
+    from sparkloom.llm import minhash, substring_dedup
+
+    a, b = thue_morse("a", "b", 1024), thue_morse("b", "a", 1024)
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert all(r.kept for r in minhash.link(docs).collect())
+    docs = spark.createDataFrame([(1, " ".join([a] * 35)), (2, " ".join([b] * 35))], "doc_id long, text string")
+
+    assert all(r.n_removed == 0 for r in substring_dedup.remove_repeats(docs).collect())
