@@ -4,11 +4,14 @@
 2. Passages longer than PIECE words are cut into pieces of that length, WIDTH apart, so that any WIDTH words of
    a passage lie in one piece whole. A randomised SVD of the pieces' TF-IDF, in blocks of about BLOCK_ITEMS:
    Spark multiplies the pieces' matrix and its transpose with a narrow random matrix, POWER times, summing by
-   bucket; the driver orthonormalises, each time, a matrix of the block's buckets by its rank. A block's rank is
-   the number of its pieces, so that its latent space holds every one of them whole.
+   bucket; the driver orthonormalises, each time, a matrix of the block's buckets by its rank, LATENT at most, a
+   third of a block's pieces: words that pieces have together share dimensions. Pieces' latent vectors are brought back
+   to length 1, which makes up for the energy that the space has lost of a piece.
 3. One pass over the documents per PASS_BLOCKS blocks: windows of WIDTH words, STRIDE apart, are projected into the block's
    latent space and compared with its pieces by cosine. By Cauchy-Schwarz a window whose share of weight on
    the block's words is below COSINE squared cannot reach COSINE; it is left out before it is projected.
+   Beside it, every run of SEED words that a passage and a document share (all of a shorter passage) makes a candidate:
+   verbatim passages don't depend on a cosine, in which rarer words around a short one would outweigh it.
 4. A candidate is decided on the words around the window: their longest common subsequence with the whole passage
    must cover STRONG of it, or WEAK of it together with its answer (given, or else the passage's ANSWER
    heaviest words) for at least half.
@@ -24,16 +27,18 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, materialize, mix, span_hashes, steps, trimmed, utf8, word_bounds
+from .shared import bound_batches, materialize, mix, span_hashes, steps, trimmed, utf8, window_hashes, word_bounds
 
 BUCKETS = 1 << 17
-RANK, POWER = 192, 2
+RANK, LATENT, POWER = 192, 64, 2
+SEED = 8
 WIDTH, STRIDE, COSINE = 32, 8, 0.35
 PIECE = 2 * WIDTH
 STRONG, WEAK, ANSWER = 0.75, 0.5, 6
@@ -46,7 +51,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     lo, hi = trimmed(data, starts, ends)
     real = hi > lo
     before = np.append(0, np.cumsum(real))
-    return span_hashes(data, lo[real], hi[real], fold=True), before[first]
+    return span_hashes(data, lo[real], hi[real], fold=True, twice=True), before[first]
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
@@ -160,7 +165,31 @@ class Block:
         self.basis = np.vstack([np.zeros((1, basis.shape[1])), basis]).astype(np.float32)
         place = {r: j for j, r in enumerate(self.rows)}
         self.item = np.array([place[r] for r, _, _ in pieces])
-        self.vectors = np.array([np.array(v) @ self.basis[self.row[at]] for _, at, v in pieces], np.float32)
+        vectors = np.array([np.array(v) @ self.basis[self.row[at]] for _, at, v in pieces], np.float32)
+        self.vectors = vectors / np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-6)
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by length: hashes, ascending; passages; a sieve of the hashes
+        for size in {min(SEED, len(w)) for w in words if len(w)}:
+            own = [(window_hashes(w, size), j) for j, w in enumerate(words) if min(SEED, len(w)) == size]
+            hashes, of = np.concatenate([h for h, _ in own]), np.concatenate([np.full(len(h), j) for h, j in own])
+            order = np.argsort(hashes, kind="stable")
+            sieve = np.zeros(1 << 20, bool)
+            sieve[hashes >> np.uint64(44)] = True
+            self.seeds[size] = hashes[order], of[order], sieve
+
+    def shared_runs(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """As candidates: runs of words that a passage has as well. Of a passage's runs in a row less than STRIDE apart the first stands for all."""
+        last: dict[tuple[int, int], int] = {}
+        for size, (hashes, of, sieve) in self.seeds.items():
+            found = window_hashes(words, size)
+            some = np.flatnonzero(sieve[found >> np.uint64(44)])
+            lo, hi = np.searchsorted(hashes, found[some], "left"), np.searchsorted(hashes, found[some], "right")
+            row = np.searchsorted(first, some, "right") - 1
+            for k in np.flatnonzero((hi > lo) & (some + size <= first[row + 1])).tolist():
+                s, d = int(some[k]), int(row[k])
+                for j in np.unique(of[lo[k] : hi[k]]).tolist():
+                    if s - last.get((d, j), -STRIDE) >= STRIDE:
+                        last[d, j] = s
+                        yield s, s + size, j
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(start of the window, its end, passage), by word number; windows do not cross rows."""
@@ -195,7 +224,7 @@ class Block:
         """Of each row: passages found, with the share of the passage that the longest common subsequence covers."""
         out: list[dict[int, float]] = [{} for _ in range(len(first) - 1)]
         masks: dict[int, dict[int, int]] = {}
-        for s, e, j in self.candidates(words, first):
+        for s, e, j in chain(self.shared_runs(words, first), self.candidates(words, first)):
             d = int(np.searchsorted(first, s, "right")) - 1
             passage = self.words[j]
             if out[d].get(j, 0) >= 1 or not len(passage):
@@ -267,7 +296,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", drop:
             found = sorted(tuple(r) for r in part.select("row", "at", "v").collect())  # a block, of bounded size
             if found:
                 whole = items.join(F.broadcast(part.select("row").distinct()), "row", "left_semi").select("row", "item", "text", "answer").collect()
-                now.append(Block(found, [tuple(r) for r in whole], *latent_space(part.select("row", "at", "v"), rank=len(found)), idf))
+                now.append(Block(found, [tuple(r) for r in whole], *latent_space(part.select("row", "at", "v"), rank=min(LATENT, len(found))), idf))
         rows = _apply(rows, now, keep)
     return rows.select(*(F.col(f"`{c}`") for c in keep), (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap")
 

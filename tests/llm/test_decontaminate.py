@@ -117,3 +117,68 @@ def test_recall_by_length(spark):
         if r.doc_id >= 0:
             found.setdefault((len(items[r.doc_id // 2][1].split()), r.doc_id % 2), []).append(r.doc_id // 2 in r.item_ids)
     assert len(found) == 10 and all(np.mean(x) >= 0.9 for x in found.values()), found
+
+
+def test_short_passages_among_rare_words(spark):
+    """Verbatim passages of words that are frequent in the corpus, within words that occur nowhere else."""
+    rng = random.Random(31)
+    common, rare = [f"c{i}" for i in range(200)], lambda: "".join(rng.choice("abcdefghijklm") for _ in range(9))
+    items = [(i, " ".join(rng.choices(common, k=n))) for i, n in enumerate([3] * 10 + [16] * 60 + [24] * 60 + [40] * 60 + [300] * 5 + [2000] * 2)]
+    docs = [(i, " ".join([*(rare() for _ in range(70)), text, *(rare() for _ in range(70))])) for i, text in items]
+    docs += [(1000 + i, " ".join(rng.choices(common, k=120))) for i in range(600)]
+    got = {r.doc_id: r.item_ids for r in dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([x for x in items], "item_id long, text string")).collect()}
+    assert all(i in got[i] for i, _ in items)
+    assert not any(set(got[1000 + i]) - set(range(10)) for i in range(600))  # but for those of three words
+
+
+def slow_verdict(text, passage, answer):
+    """The best share over all places where a document could hold the passage."""
+    best = 0.0
+    for s in range(0, max(len(text), 1)):
+        around = text[max(0, s - len(passage)) : s + len(passage) + 8]
+        mask = {}
+        for i, w in enumerate(passage):
+            mask[w] = mask.get(w, 0) | 1 << i
+        share = dc._common(mask, len(passage), around) / len(passage)
+        if share >= dc.STRONG or (share >= dc.WEAK and 2 * len(answer & set(around)) >= len(answer)):
+            best = max(best, share)
+    return best
+
+
+def test_verdicts_against_brute_force(spark):
+    """Every document against every passage at every place: what is found is right, and at least 0.9 of what is there is found, verbatim and with words changed."""
+    rng = random.Random(41)
+    common = [f"c{i}" for i in range(40)]
+    word = lambda: rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 60)))) for i in range(30)]
+    docs = []
+    for d in range(90):
+        w = [word() for _ in range(rng.randrange(10, 120))]
+        if d % 3:
+            p = items[rng.randrange(30)][1].split()
+            p = [word() if rng.random() < (d % 5) * 0.08 else x for x in p]
+            at = rng.randrange(len(w))
+            w[at:at] = p
+        docs.append((d, " ".join(w)))
+    bench = [(i, t, " ".join(t.split()[:3])) for i, t in items]
+    got = {r.doc_id: r for r in dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string, answer string")).collect()}
+    there = found = 0
+    for d, text in docs:
+        for i, t, answer in bench:
+            share = slow_verdict(text.split(), t.split(), set(answer.split()))
+            assert i not in got[d].item_ids or share > 0
+            there, found = there + (share > 0), found + (i in got[d].item_ids)
+    assert there > 50 and found >= 0.9 * there, (found, there)
+
+
+def test_latent_candidates(spark):
+    """A window of words that the passage lacks, but that stand with its words in other passages: the plain product is 0."""
+    rng = np.random.default_rng(3)
+    left, right = [f"l{i}" for i in range(12)], [f"r{i}" for i in range(12)]
+    texts = [" ".join([*rng.permutation(left)[:6], *rng.permutation(right)[:6]]) for _ in range(40)] + [" ".join(f"z{k}x{i}" for i in range(12)) for k in range(40)] + [" ".join(left)]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string")
+    pieces = dc._matrix(items, np.ones(dc.BUCKETS, np.float32))
+    rows = sorted(tuple(r) for r in pieces.select("row", "at", "v").collect())
+    block = dc.Block(rows, [(i, i, t, None) for i, t in enumerate(texts)], *dc.latent_space(pieces.select("row", "at", "v"), rank=8), np.ones(dc.BUCKETS, np.float32))
+    words, first = dc._words(*dc.utf8(dc.pa.array([" ".join(right)])))
+    assert len(texts) - 1 in {j for *_, j in block.candidates(words, first)} and not set(dc._bucket(words)) & set(rows[-1][1])
