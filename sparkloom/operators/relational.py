@@ -57,6 +57,21 @@ def gaps(df: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
     return rows.join(days, match).select(*(rows[c] for c in df.columns), (F.col("__before") + F.col("__within")).alias("session"))
 
 
+def elapsed(df: DataFrame, key: str, time: str, tie: str, name: str) -> DataFrame:
+    """Adds the seconds since the row before of the same key, by time and then `tie`; null for a key's first row.
+
+    Rows are sorted by key and day; the last time of earlier days, a row for each key and day, is carried over.
+    """
+    rows = df.withColumn("__day", _day(time)).withColumn("__t", _micros(time))
+    before = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(key, "__day").agg(F.max("__t").alias("__last")).select(key, "__day", F.max("__last").over(before).alias("__carried"))
+    days = materialize(days, "days")
+    rows = rows.withColumn("__before", F.lag("__t").over(Window.partitionBy(key, "__day").orderBy("__t", tie)))
+    match = rows[key].eqNullSafe(days[key]) & rows["__day"].eqNullSafe(days["__day"])
+    seconds = (F.col("__t") - F.coalesce("__before", "__carried")) / 1e6
+    return rows.join(days, match).select(*(rows[c] for c in df.columns), seconds.alias(name))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, columns: list[str]) -> DataFrame:
     """Each left row with the right columns of the last right row of its key at or before its time.
 

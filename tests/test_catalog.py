@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sparkloom.plans import catalog, integrity, state  # noqa: F401
+from sparkloom.plans import catalog, integrity, sets, state  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 

@@ -91,3 +91,20 @@ def test_written_tables(spark, tmp_path, monkeypatch):
         shared_folder(session)
     session.conf = Conf(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/y/"})
     assert shared_folder(session) == "hdfs://x/y"
+
+
+def test_elapsed(spark):
+    """Gaps over midnight and over days without rows; equal times; a null key."""
+    from datetime import datetime, timedelta
+
+    from sparkloom.operators.relational import elapsed
+
+    rng, start = random.Random(12), datetime(2024, 1, 1)
+    rows = [(i, rng.choice([1, 1, 2, None]), start + timedelta(seconds=rng.randrange(500_000) // 1000 * 1000)) for i in range(200)]
+    want, last = {}, {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = (t - last[k]).total_seconds() if k in last else None
+        last[k] = t
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp")
+    assert {r.id: r.seconds for r in elapsed(df, "k", "ts", "id", "seconds").collect()} == want
+    assert elapsed(df.limit(0), "k", "ts", "id", "seconds").count() == 0
