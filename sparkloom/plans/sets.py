@@ -1,7 +1,9 @@
-"""Registered queries of samples, sets, differences and elapsed times."""
+"""Registered queries of samples, sets, differences, elapsed times and numbered lines."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from sparkloom.operators.relational import elapsed
 from sparkloom.operators.samples import counted_sample, equal_sets, largest_share
 from sparkloom.operators.snapshots import difference, snapshot
 from sparkloom.plans.catalog import query
-from sparkloom.sources.tables import table
+from sparkloom.sources.lines import numbered_lines
+from sparkloom.sources.tables import shared_folder, table
 
 
 @query("""SELECT event_type, count(*) AS n_rows, array_to_string((list(event_id ORDER BY value DESC, event_id))[1:5], ',') AS dearest FROM events GROUP BY 1""")
@@ -52,3 +55,14 @@ def time_since_last_event(spark, sf_dir) -> DataFrame:
 def finished_and_urgent_orders(spark, sf_dir) -> DataFrame:
     orders = table(spark, sf_dir, "orders", F.col("o_custkey").alias("custkey"), "o_orderstatus", "o_orderpriority")
     return orders.filter("o_orderstatus = 'F'").select("custkey").intersectAll(orders.filter("o_orderpriority = '1-URGENT'").select("custkey"))
+
+
+@query(r"""SELECT coalesce(role, 'none') AS role, sum(1 + len(regexp_extract_all(coalesce(text, ''), '\r\n|\r|\n')))::BIGINT AS n_lines, sum(1 + len(regexp_extract_all(coalesce(text, ''), '\r\n|\r|\n')))::BIGINT AS numbers_end FROM conversations GROUP BY 1""")
+def lines_by_role(spark, sf_dir) -> DataFrame:
+    """The turns are written as text files, a folder for each role, and read back with line numbers: the last number of every file adds up to the lines."""
+    path = f"{shared_folder(spark)}/sparkloom-texts-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "conversations", "role", "text").select(F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows.write.partitionBy("role").text(path)
+    lines = numbered_lines(spark, path)
+    files = lines.groupBy("file").agg(F.count("*").alias("n"), F.max("line").alias("end"))
+    return files.groupBy(F.regexp_extract("file", r"/role=([^/]*)/", 1).alias("role")).agg(F.sum("n").alias("n_lines"), F.sum("end").alias("numbers_end"))

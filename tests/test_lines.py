@@ -1,0 +1,52 @@
+import random
+import re
+
+import pytest
+
+from sparkloom.sources.lines import numbered_lines, sections, tail
+
+
+def write(folder):
+    rng, texts = random.Random(4), {}
+    for f in range(4):
+        lines = []
+        for _ in range([0, 1, 400, 900][f]):
+            lines.append(rng.choice(["", "text", "# One", "## Two  ", "####### seven", "#none", "```", "  ```py", "    ``` four", "é" * rng.randrange(30), "# in or out"]))
+        texts[f"f{f}.md"] = lines
+        (folder / f"f{f}.md").write_text("\n".join(lines) + ("\n" if lines and f % 2 else ""), encoding="utf-8", newline="")
+    return texts
+
+
+def slow(lines):
+    out, fence, head = [], False, (None, None)
+    for i, t in enumerate(lines, 1):
+        mark = bool(re.match(r" {0,3}```", t))
+        fenced = fence or mark
+        fence ^= mark
+        if not fenced and (m := re.match(r"(#{1,6}) (.*)$", t)):
+            head = (m[2].strip(" "), len(m[1]))
+        out.append((i, t, fenced, *head))
+    return out
+
+
+@pytest.mark.parametrize("size", ["128m", "700b"])
+def test_numbers_and_sections(spark, tmp_path, size):
+    """Files of one split and of many."""
+    texts = write(tmp_path)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "64b")
+        found = sections(numbered_lines(spark, str(tmp_path)))
+        rows = found.collect()
+        last = tail(spark, str(tmp_path), 3).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    splits = {(r.file, r.block) for r in rows}
+    assert (len(splits) > 8) == (size != "128m")
+    for name, lines in texts.items():
+        lines = lines[:-1] if lines and lines[-1] == "" and not int(name[1]) % 2 else lines  # an empty last line without an end is none
+        got = sorted((r.line, r.text, r.fenced, r.heading, r.level) for r in rows if r.file.endswith(name))
+        assert got == slow(lines), name
+        assert sorted(r.line for r in last if r.file.endswith(name)) == [i for i, *_ in slow(lines)][-3:]
