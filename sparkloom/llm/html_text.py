@@ -9,7 +9,12 @@ links, in page order, without those in menus, headers, footers, sidebars, notice
 
 An id is often an anchor that names its topic: on headings and paragraphs ids say nothing, elsewhere an id counts
 only if all its words name such a part or a neutral box; inside article and main a class too. Elsewhere a class
-with such a name among other words counts unless its element holds most of the page's text.
+with such a name among other words counts unless its element holds most of the page's text; inside of them such a
+class counts only if ratios speak for it as well: most of the element's text is links, or children of one path and class
+repeat in it, as the entries of a list of comments do.
+
+A comment, a self-closed svg or math and other foreign elements end as HTML has it. Text of svg, math, object, canvas and
+noscript is text.
 
 Pages are independent rows: one pass, no shuffle.
 
@@ -31,25 +36,27 @@ from pyspark.sql import functions as F
 #: Share of the page's best fused ratio below which a path is set aside, and share of the fused sum that a content node must hold.
 THRESHOLD, HELD = 0.08, 0.7
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([^<]+|<)""", re.S)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|([^<]+|<)""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _STRAY = re.compile("<")
 _PART = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
-_RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "svg", "template", "math", "object", "canvas"}
+_RAW = {"script", "style", "textarea", "title", "iframe", "template", "annotation", "annotation-xml"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr svg object canvas noscript".split())
+_INLINE |= set("math mi mo mn ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mstyle mpadded mphantom merror menclose semantics maction".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-_APART = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset"}
+_APART = {"nav", "footer", "aside", "form", "button", "select", "dialog", "head"}
+_APART_OUTSIDE = {"header", "menu", "fieldset"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 _NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu breadcrumb breadcrumbs sidebar aside widget footer masthead cookie cookies consent"
-    " notice notices disclaimer alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond reply replies pagination pager toolbar".split()
+    " notice notices disclaimer alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar".split()
 )
 _NEUTRAL = set(
     "area bar block body bottom box button buttons center col column container content desktop footer global group header holder icon icons id in inline inner item items left link links list lists main mobile"
-    " outer page panel position post posts primary right row section secondary site slot small social sticky text title top unit up widgets wrap wrapper form".split()
+    " outer page panel position post posts primary reader readers right row section secondary site slot small social sticky text thread threads title tools top unit up user users visitor widgets wrap wrapper form".split()
 )
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -64,14 +71,14 @@ def _names_part(value: str, strict: bool) -> bool:
 class _Node:
     """An element. Its descendants have the numbers after its own, up to `last`; `path` numbers its path of tags and classes."""
 
-    __slots__ = ("apart", "block", "last", "main", "number", "parent", "path", "role", "tag", "weak")
+    __slots__ = ("apart", "block", "hint", "last", "main", "named", "number", "parent", "path", "role", "tag", "weak")
 
     def __init__(self, tag: str, attributes: str, parent: _Node | None, number: int, paths: dict[tuple[int, str, str], int]):
         self.tag, self.parent, self.number, self.last = tag, parent, number, number
         self.block = parent.block if parent is not None and tag in _INLINE else self
         self.main = tag in ("article", "main") or (parent is not None and parent.main)
-        own = tag in _APART or (tag == "header" and not self.main)
-        name, self.role, self.weak = "", False, False
+        own = tag in _APART or (tag in _APART_OUTSIDE and not self.main)
+        name, self.role, self.weak, self.hint = "", False, False, False
         if attributes:
             for key, *value in _NAMED.findall(attributes):
                 key, value = key.lower(), "".join(value).lower()
@@ -86,9 +93,12 @@ class _Node:
                 else:
                     named = tag not in ("html", "body", "article", "main") and not (key == "id" and (tag in _HEADINGS or tag == "p"))
                     own |= named and _names_part(value, strict=True)
-                    self.weak |= named and key == "class" and not self.main and _names_part(value, strict=False)
+                    if named and key == "class" and _names_part(value, strict=False):
+                        self.weak |= not self.main
+                        self.hint |= self.main
                     name += "." + value if key == "class" else ""
         self.apart = own or (parent is not None and parent.apart)
+        self.named = bool(name)
         self.path = paths.setdefault((parent.path if parent is not None else -1, tag, name), len(paths))
 
     def holds(self, x: _Node) -> bool:
@@ -143,6 +153,8 @@ def _read(page: str) -> tuple[list[tuple[str, _Node, int]], list[_Node]]:
                     x -= 1
                 close(x)
             continue
+        if m[3].endswith("/") and tag in ("svg", "math"):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else (n if tag in ("script", "style") else at)
@@ -170,16 +182,24 @@ def _read(page: str) -> tuple[list[tuple[str, _Node, int]], list[_Node]]:
 
 
 def _set_weak_apart(found: list[tuple[str, _Node, int]], nodes: list[_Node]) -> None:
-    """An element whose class has the name of a part among other words is that part, unless it holds most of the page's text."""
-    if not any(x.weak for x in nodes):
+    """An element whose class has the name of a part among other words is that part, unless it holds most of the page's text; within the article only if its links or its repeated children say so too."""
+    if not any(x.weak or x.hint for x in nodes):
         return
-    held = [0] * len(nodes)
+    held, linked, repeated = [0] * len(nodes), [0] * len(nodes), defaultdict(int)
     for text, x, inside in found:
         held[x.number] += 0 if x.apart else len(text) - inside
+        linked[x.number] += 0 if x.apart else inside
     for x in reversed(nodes[1:]):
         held[x.parent.number] += held[x.number]
+        linked[x.parent.number] += linked[x.number]
+        if x.named and x.tag not in _INLINE:
+            repeated[x.parent.number, x.path] += 1
+    twice = {n for (n, _), times in repeated.items() if times > 1}
     for x in nodes[1:]:
-        x.apart |= x.parent.apart or (x.weak and 2 * held[x.number] <= held[0])
+        up = x.parent
+        within = twice if x.hint else ()
+        lists = x.hint and (linked[x.number] > held[x.number] or x.number in within or any(k in within for k in range(x.number + 1, min(x.last, x.number + 3) + 1)))
+        x.apart |= up.apart or ((x.weak or lists) and 2 * held[x.number] <= held[0])
 
 
 def blocks(page: str) -> list[tuple[str, _Node, int]]:

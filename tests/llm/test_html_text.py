@@ -161,3 +161,37 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, "<p>a</p>"), (2, None, "<p>a</p>"), (None, "v", "")], "page_id long, url string, html string")
     assert sorted(r.text for r in extract(df).collect()) == ["", "", "a", "a"]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_comments_and_foreign_elements_end_as_in_html():
+    for bit in ("<svg/>", "<svg />", "<math/>", "<!-->", "<!--->", "<!-- a --!>", "<svg><path d='M0'/></svg>", "<script/>var a;</script>"):
+        assert main_text(f"<body>{MENU}<article><p>Before it.</p>{bit}{BODY}</article>{MENU}</body>") == "Before it.\n" + LINES, bit
+    assert main_text(f"<article><p>Let <math><mi>a</mi><mo>=</mo><mn>1</mn><annotation>a=1</annotation></math> be.</p>{BODY}</article>") == "Let a=1 be.\n" + LINES
+    for tag in ("object", "noscript", "canvas", "menu", "fieldset"):
+        assert main_text(f"<body>{MENU}<article>{BODY}<{tag}><p>Inside of it, text.</p></{tag}></article></body>") == LINES + "\nInside of it, text.", tag
+    assert main_text(f"<body><menu><li>Outside.</menu><article>{BODY}</article></body>") == LINES
+    assert main_text(f"<article>{BODY}<svg><title>no</title><text>A label.</text></svg></article>") == LINES + "\nA label."
+
+
+def test_comments_and_share_bars_in_the_article():
+    entries = "".join(f"<div class=entry><b>Reader {i}</b> <p>I agree, really, with all of it.</p></div>" for i in range(3))
+    for name in ("user-comments", "commentlist", "post-comments-thread", "reader-comments", "x-comment-feed"):
+        assert main_text(f"<body>{MENU}<article>{BODY}<div class='{name}'>{entries}</div></article></body>") == LINES, name
+    for name in ("share-tools", "share-zz"):
+        assert main_text(f"<body>{MENU}<article>{BODY}<div class='{name}'><a href=/1>Post it</a> <a href=/2>Send it</a></div></article></body>") == LINES, name
+    # the same names over running text are topics
+    assert main_text(f"<body>{MENU}<article>{BODY}<div class='comment-culture'><p>On comments.</p><p>More of it.</p></div></article></body>") == LINES + "\nOn comments.\nMore of it."
+    # one that holds most of the text is the text
+    assert main_text(f"<body><article><p>Short.</p><div class='share-economy'>{entries * 3}</div></article></body>").count("Reader") == 9
+
+
+def test_ratios_decide_without_article(monkeypatch):
+    """Layouts of plain boxes: with constants in place of the ratios other text comes out."""
+    from sparkloom.llm import html_text
+
+    teasers = "".join(f"<div class=t><span>{i}</span></div>" for i in range(9))
+    page = f"<body><div class=x>{teasers}</div><div class=y>{BODY}</div><div class=z>{teasers}</div></body>"
+    with_ratios = main_text(page).split("\n")  # smoothing lets in what stands next to text
+    assert not set(with_ratios) & set("1234567") and LINES in "\n".join(with_ratios)
+    monkeypatch.setattr(html_text, "_smooth", lambda x: [1.0] * len(x))
+    assert set("1234567") <= set(main_text(page).split("\n"))
