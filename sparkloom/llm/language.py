@@ -2,9 +2,10 @@
 
 Document frequencies come from every learnable document, as one array per task summed by bucket. Weights are
 learned by follow-the-regularised-leader with elastic-net penalties on a sample of at most about PER_LANGUAGE
-documents of each language (a hash of the id decides; a language with fewer gives all; rows of one id teach once, so
-that the driver gets no more rows than ids), and a temperature is fitted on the part of the sample that the weights have not seen. Model and frequencies have a fixed size per
-language; they go to the executors with the function. Predictions read whole texts and nothing but texts.
+ids of each language (a hash of the id decides; a language with fewer ids gives all, however often one of them
+repeats; rows of one id teach once, so that the driver gets no more rows than ids), and a temperature is fitted on the part of the sample that the weights have not seen. Model and frequencies have a fixed size per
+language (64 kB of weights, and a sample's rows), so that the driver is bound by the number of languages, which is
+taken to be hundreds at most; they go to the executors with the function. Predictions read whole texts and nothing but texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without anything to learn from, all
 are; rows with a null lang or text teach nothing; a null id is not learned from and not held out; repeated rows count
@@ -118,9 +119,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     idf = np.log((1 + total) / (1 + df)) + 1
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), idf)
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, PER_LANGUAGE / n))).otherwise(share)
+    share, ids = F.lit(0.0), {r.lang: r.n for r in rows.select("lang", "key").distinct().groupBy("lang").agg(F.count("key").alias("n")).collect()}
+    for name, n in ids.items():
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, PER_LANGUAGE / max(n, 1)))).otherwise(share)
     drawn = rows.filter(F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 20)) < share * (1 << 20))
     first = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text", "lang"), "lang", "text")).alias("row")
     drawn = drawn.groupBy("key").agg(first).select("key", "row.text", "row.lang")

@@ -7,8 +7,9 @@ ledger has, scans and appends the rest, and joins findings back to every path th
 A blob that a third of all paths share is one row after the map-side part of the deduplication. Findings are
 written before they are joined back, one row a blob, so that Spark may split such a blob's partition.
 
-A ledger is a folder of Parquet files that the caller keeps between scans. The registered query, and `redact`
-without one, start an empty one in the shared folder: they scan every blob of their table in each run.
+A ledger is a folder of Parquet files that the caller keeps between scans. The registered query keeps one of its own run
+in the shared folder: its versions come in INCREMENTS, each of which scans only the blobs that earlier ones have not;
+every blob of the table is scanned once in each run. `redact` without a ledger starts an empty one and scans all at once.
 
 Positions come from one pass per rule: matches are taken with the text before them, anchored at the last
 match's end, and their lengths are summed along the blob.
@@ -21,11 +22,15 @@ append, counts once; other columns of the versions are ignored by `scan` and kep
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, shared_folder
+
+#: Parts in which the registered query's versions come.
+INCREMENTS = 2
 
 #: (kind, pattern, group whose length counts, least length). The order ranks kinds that start at one place.
 #: The first three are the contract's, the others the published forms of keys that hosts hand out.
@@ -121,6 +126,17 @@ def scan_kept(versions: DataFrame, path: str = "path", text: str = "text", ledge
     return _back(versions, _add(versions, ledger, rules))
 
 
+def scan_increments(versions: DataFrame, path: str = "path", text: str = "text", rules=RULES, parts: int = INCREMENTS, ledger: str | None = None) -> DataFrame:
+    """The findings that `scan` gives, of versions that come in parts (by a hash of the path), with one ledger for all: a part scans only what those before it left."""
+    spark = versions.sparkSession
+    versions = _versions(versions, path, None, text)
+    ledger = ledger or f"{shared_folder(spark)}/sparkloom-ledger-{uuid.uuid4().hex}"
+    for k in range(parts):
+        part = versions.filter(F.coalesce(F.pmod(F.xxhash64(F.col("path").cast("string")), F.lit(parts)), F.lit(0)) == k)
+        _unseen(part, kept_ledger(spark, ledger), rules).write.mode("append").parquet(ledger)
+    return _back(versions, _known(kept_ledger(spark, ledger), rules))
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", ledger: str | None = None, rules=RULES) -> DataFrame:
     """docs with every found span of the text replaced by the mark, by way of a ledger; where there is n_chars, it is the new length."""
     plain = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -154,7 +170,7 @@ def _is(kind: str):
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan_kept(spark.read.parquet(f"{sf_dir}/documents.parquet"), path="doc_id")
+    found = scan_increments(spark.read.parquet(f"{sf_dir}/documents.parquet"), path="doc_id")
     base = F.filter("findings", lambda x: x["rank"] < len(BASE))
     counts = [F.size(F.filter("findings", _is(k))).cast("bigint").alias(f"n_{k}") for k in BASE]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line(F.col("findings")).alias("spans"))

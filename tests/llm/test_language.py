@@ -102,3 +102,17 @@ def test_a_repeated_id_teaches_once(spark, monkeypatch):
     many = spark.range(3000).selectExpr("5L doc_id", "concat('the of ', id % 50) text", "'en' lang")
     language.learn(df.union(many))
     assert sizes[0] <= 60
+
+
+def test_a_repeated_id_does_not_starve_its_language(spark, monkeypatch):
+    """One id makes nearly all rows of a language: its other ids teach all the same."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm import language
+
+    monkeypatch.setattr(language, "PER_LANGUAGE", 100)
+    rows = spark.range(5000).select(F.when(F.col("id") < 60, F.col("id")).otherwise(F.lit(999)).alias("doc_id"), F.lit("bonjour le monde").alias("text"), F.lit("fr").alias("lang"))
+    rows = rows.unionByName(spark.range(40).select((F.col("id") + 2000).alias("doc_id"), F.lit("hello the world").alias("text"), F.lit("en").alias("lang")))
+    taught = []
+    monkeypatch.setattr(language, "fit", lambda sample, languages, idf: taught.extend(languages[y] for *_, y in sample) or "model")
+    assert language.learn(rows) == "model" and (taught.count("fr"), taught.count("en")) == (61, 40)

@@ -88,6 +88,19 @@ def test_query_scans_in_each_run(spark, tmp_path):
     assert sorted(map(str, secrets.op5_secrets(spark, str(tmp_path)).collect())) == first
 
 
+def test_increments_scan_only_what_is_left(spark, tmp_path, monkeypatch):
+    """Blobs that parts share are scanned in the first of them alone; the findings are those of one scan."""
+    rows = [(i, ["token=abcdefgh", "AKIA" + "0" * 16, f"secret: value{i:04d}", None][i % 4]) for i in range(60)] + [(None, "token=abcdefgh"), (3, "token=abcdefgh")]
+    docs, ledger = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ledger")
+    scanned, plain = [], secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda blobs, rules: scanned.append(blobs.count()) or plain(blobs, rules))
+    got = sorted(map(str, secrets.scan_increments(docs, path="doc_id", parts=3, ledger=ledger).collect()))
+    monkeypatch.undo()
+    assert got == sorted(map(str, secrets.scan(docs, path="doc_id")[0].collect()))
+    blobs = len({t or "" for _, t in rows})
+    assert sum(scanned) == blobs == secrets.kept_ledger(spark, ledger).count() and all(scanned)
+
+
 def test_versions_of_a_path(spark):
     df = spark.createDataFrame([("p", 1, "token=abcdefgh"), ("p", 2, "none"), ("q", None, "token=abcdefgh")], "path string, v int, text string")
     found, new = secrets.scan(df, version="v")
