@@ -41,7 +41,7 @@ def gaps(df: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
     """Numbers the sessions of each key: a session ends where more than `seconds` pass without a row. Ties keep one session.
 
     Rows are sorted by key and day, not by key alone, so that a key with a third of all rows is many tasks; a
-    second window over one written row for each key and day carries last time and number of sessions over.
+    second window over one row for each key and day carries last time and number of sessions over.
     """
     rows = df.withColumn("__day", _day(time)).withColumn("__t", _micros(time))
     own = Window.partitionBy(key, "__day").orderBy("__t")
@@ -51,7 +51,7 @@ def gaps(df: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
     opens = F.coalesce((F.col("__first") - F.lag("__last").over(along) > seconds * 1_000_000).cast("int"), F.lit(1))
     days = days.withColumn("__opens", opens)
     before = F.sum(F.col("__opens") + F.col("__more")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__more")
-    days = materialize(days.select(key, "__day", before.alias("__before")), "days")
+    days = days.select(key, "__day", before.alias("__before"))
     rows = rows.withColumn("__within", F.sum("__new").over(own.rangeBetween(Window.unboundedPreceding, 0)))
     match = rows[key].eqNullSafe(days[key]) & rows["__day"].eqNullSafe(days["__day"])
     return rows.join(days, match).select(*(rows[c] for c in df.columns), (F.col("__before") + F.col("__within")).alias("session"))
@@ -65,7 +65,6 @@ def elapsed(df: DataFrame, key: str, time: str, tie: str, name: str) -> DataFram
     rows = df.withColumn("__day", _day(time)).withColumn("__t", _micros(time))
     before = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     days = rows.groupBy(key, "__day").agg(F.max("__t").alias("__last")).select(key, "__day", F.max("__last").over(before).alias("__carried"))
-    days = materialize(days, "days")
     rows = rows.withColumn("__before", F.lag("__t").over(Window.partitionBy(key, "__day").orderBy("__t", tie)))
     match = rows[key].eqNullSafe(days[key]) & rows["__day"].eqNullSafe(days["__day"])
     seconds = (F.col("__t") - F.coalesce("__before", "__carried")) / 1e6
@@ -76,13 +75,12 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, columns: list[
     """Each left row with the right columns of the last right row of its key at or before its time.
 
     One union and a running last value within each key and day, in place of a range join; each day's last right
-    row, one written row for a key and day, is carried over to later days. No task gets a whole key.
+    row, one row for a key and day, is carried over to later days. No task gets a whole key.
     """
     rows = left.withColumn("__left", F.lit(True)).unionByName(right.select(key, time, F.lit(False).alias("__left"), F.struct(*columns).alias("__right")), allowMissingColumns=True).withColumn("__day", _day(time))
     latest_first = F.max_by("__right", F.when(~F.col("__left"), F.col(time))).alias("__own")
     along = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     days = rows.groupBy(key, "__day").agg(latest_first).select(key, "__day", F.last("__own", ignorenulls=True).over(along).alias("__carried"))
-    days = materialize(days, "days")
     own = Window.partitionBy(key, "__day").orderBy(F.col(time), F.col("__left")).rowsBetween(Window.unboundedPreceding, 0)
     found = rows.withColumn("__found", F.last("__right", ignorenulls=True).over(own)).filter("__left")
     match = found[key].eqNullSafe(days[key]) & found["__day"].eqNullSafe(days["__day"])
