@@ -12,7 +12,7 @@ from sparkloom.operators.samples import counted_sample, equal_sets, largest_shar
 from sparkloom.operators.snapshots import difference, snapshot
 from sparkloom.plans.catalog import query
 from sparkloom.sources.lines import numbered_lines
-from sparkloom.sources.tables import shared_folder, table
+from sparkloom.sources.tables import run_folder, table
 
 
 @query("""SELECT event_type, count(*) AS n_rows, array_to_string((list(event_id ORDER BY value DESC, event_id))[1:5], ',') AS dearest FROM events GROUP BY 1""")
@@ -60,7 +60,7 @@ def finished_and_urgent_orders(spark, sf_dir) -> DataFrame:
 @query(r"""SELECT coalesce(role, 'none') AS role, sum(1 + len(regexp_extract_all(coalesce(text, ''), '\r\n|\r|\n')))::BIGINT AS n_lines, sum(1 + len(regexp_extract_all(coalesce(text, ''), '\r\n|\r|\n')))::BIGINT AS numbers_end FROM conversations GROUP BY 1""")
 def lines_by_role(spark, sf_dir) -> DataFrame:
     """The turns are written as text files, a folder for each role, and read back with line numbers: the last number of every file adds up to the lines."""
-    path = f"{shared_folder(spark)}/sparkloom-texts-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/sparkloom-texts-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "conversations", "role", "text").select(F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows.write.partitionBy("role").text(path)
     lines = numbered_lines(spark, path)

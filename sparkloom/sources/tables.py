@@ -9,6 +9,7 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_RUN = f"sparkloom-run-{uuid.uuid4().hex}"
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -31,9 +32,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN["own"]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that this driver process writes to, and that `drop_run` deletes."""
+    return f"{shared_folder(spark)}/{_RUN}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Deletes all that this process has written in the shared folder: for the end of a run, when no result of it will be read again."""
+    _delete(spark, run_folder(spark))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, and survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/sparkloom-{name}-{uuid.uuid4().hex}"
+    """Writes df as Parquet in the run's folder and reads it again: cuts the lineage, and survives the loss of executors."""
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
@@ -45,6 +61,4 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = _PATHS.pop(df, None)
         if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            _delete(df.sparkSession, path)

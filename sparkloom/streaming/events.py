@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.sources.tables import shared_folder
+from sparkloom.sources.tables import run_folder
 
 _NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 
@@ -42,7 +42,7 @@ def available(stream: DataFrame, name: str, after: bool = True) -> DataFrame:
     executor's tasks, state included, start again from there.
     """
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True)
     was = spark.conf.get(_NO_DATA)
     try:

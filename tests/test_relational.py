@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.relational import as_of, gaps, ordered_text, share_of_group
-from sparkloom.sources.tables import discard, materialize, shared_folder
+from sparkloom.sources.tables import discard, drop_run, materialize, run_folder, shared_folder
 
 
 def rows(n=600):
@@ -93,6 +93,22 @@ def test_written_tables(spark, tmp_path, monkeypatch):
     assert shared_folder(session) == "hdfs://x/y"
 
 
+def test_a_run_can_be_dropped(spark, monkeypatch):
+    """All that a process has written lies in one folder, which goes at once; later writes make it anew."""
+    import os
+
+    from sparkloom.sources import tables
+
+    monkeypatch.setattr(tables, "_RUN", "sparkloom-run-of-a-test")
+    kept = [materialize(spark.range(5).toDF("id"), "five") for _ in range(2)]
+    folder = run_folder(spark).removeprefix("file://")
+    assert len(os.listdir(folder)) == 2 and kept[0].count() == 5
+    drop_run(spark)
+    assert not os.path.exists(folder)
+    assert materialize(spark.range(3).toDF("id"), "three").count() == 3
+    drop_run(spark)
+
+
 def test_elapsed(spark):
     """Gaps over midnight and over days without rows; equal times; a null key."""
     from datetime import datetime, timedelta
