@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from sparkloom.sources.tables import discard, materialize, shared_folder  # noqa: F401
+from sparkloom.sources.tables import discard, materialize  # noqa: F401
+from sparkloom.sources.tables import run_folder as shared_folder  # noqa: F401
 
 #: Text handed to one numpy step, in bytes: keeps temporary arrays within a few dozen MB. A longer document is a step of its own.
 STEP_BYTES = 1 << 20
