@@ -85,14 +85,15 @@ def _unsettled(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) to (id, component): of every node that has an edge to another, the smallest id it can reach.
 
-    Each task first turns its batches of edges into stars. A round groups by node but only takes a minimum, so that
-    a hub is summed before it is shuffled. The minima are written before they are joined: with an aggregate in the
-    join's own stage Spark could not split a hub's partition. Rounds grow with the logarithm of the longest path.
-    Each is written to the shared folder. Edges with a null end, and loops, do not count; an empty table gives none.
+    Fewer than EDGES edges are contracted in one task, at once. Of more, each task first turns its batches of edges into
+    stars. A round groups by node but only takes a minimum, so that a hub is summed before it is shuffled. The minima are
+    written before they are joined: with an aggregate in the join's own stage Spark could not split a hub's partition.
+    Rounds grow with the logarithm of the longest path. Each is written to the shared folder. Edges with a null end, and loops, do not count; an empty table gives none.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b")
-    edges = _contracted(edges)
-    while _unsettled(edges):
+    few = edges.limit(EDGES).count() < EDGES
+    edges = materialize(edges.coalesce(1).mapInArrow(contract, "a long, b long"), "edges") if few else _contracted(edges)
+    while not few and _unsettled(edges):
         stars, done = _large_star(edges)
         moved, more = _small_star(stars)
         new = _contracted(moved)

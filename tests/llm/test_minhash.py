@@ -88,7 +88,12 @@ def test_a_template_makes_no_pairs(spark, monkeypatch):
     assert large["rare"] <= 600 and large["rest"] <= 20 * 600
 
 
-def test_components_of_a_hub_and_chains(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_a_hub_and_chains(spark, monkeypatch, few):
+    """In one task, and in rounds."""
+    from sparkloom.llm import components as c
+
+    monkeypatch.setattr(c, "EDGES", c.EDGES if few else 1)
     rng = random.Random(8)
     edges = [(i, 0 if i % 3 == 0 else i - 1) for i in range(1, 900)] + [(5000 + i, 5000 + i // 2) for i in range(1, 200)]
     edges += [(b, a) for a, b in rng.sample(edges, 300)]
