@@ -27,14 +27,15 @@ def without_dots(path: Column) -> Column:
 def resolved(reference: Column, base: Column) -> Column:
     """The absolute URL that a reference means on a page of URL base, without its fragment.
 
-    Scheme and host in lower case, the scheme's own port left out, an empty path as /. Null where either is null, or
+    White space at the ends, and tabs and line ends anywhere, do not count. Scheme and host in lower case, the scheme's own port left out, an empty path as /. Null where either is null, or
     where the result would have no scheme or, for http and https, no host.
     """
-    r = {n: _part(F.trim(reference), i) for i, n in enumerate(("scheme", "host", "path", "query"), 1)}
-    b = {n: _part(F.trim(base), i) for i, n in enumerate(("scheme", "host", "path", "query"), 1)}
-    has_host = F.regexp_like(F.trim(reference), F.lit(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"))
-    has_query = F.regexp_like(F.trim(reference), F.lit(r"^[^?#]*\?"))
-    base_query = F.regexp_like(F.trim(base), F.lit(r"^[^?#]*\?"))
+    reference, base = (F.trim(F.regexp_replace(x, r"[\t\n\r]", "")) for x in (reference, base))
+    r = {n: _part(reference, i) for i, n in enumerate(("scheme", "host", "path", "query"), 1)}
+    b = {n: _part(base, i) for i, n in enumerate(("scheme", "host", "path", "query"), 1)}
+    has_host = F.regexp_like(reference, F.lit(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"))
+    has_query = F.regexp_like(reference, F.lit(r"^[^?#]*\?"))
+    base_query = F.regexp_like(base, F.lit(r"^[^?#]*\?"))
     own = (r["scheme"] != "") | has_host
     folder = F.when(b["path"] == "", F.lit("/")).otherwise(F.regexp_extract(b["path"], r"^(.*/)?", 0))
     path = F.when(own | r["path"].startswith("/"), r["path"]).when(r["path"] == "", b["path"]).otherwise(F.concat(folder, r["path"]))

@@ -100,9 +100,9 @@ def closed_sessions(events: DataFrame, gap: int = 1800, late: int = 7200) -> Dat
     seconds behind the latest event of all, has passed the last event and the gap. Repeated event ids count once,
     equal times go by id, values are summed as whole cents. Of a stream, events behind the watermark are dropped; where
     none are, the stream gives the rows that the batch gives, whatever the order of arrival. Events without id, time or
-    user are left out, those without value add nothing.
+    user are left out, those without value, or with one that is no number of cents, add nothing.
     """
-    rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.coalesce(F.round(F.col("value") * 100), F.lit(0.0)).cast("long").alias("cents"))
+    rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.coalesce(F.round(F.col("value") * 100).try_cast("long"), F.lit(0)).alias("cents"))
     rows = rows.filter("event_id is not null and ts is not null and user_id is not null")
     if events.isStreaming:
         state_store(events.sparkSession)

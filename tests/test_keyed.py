@@ -35,7 +35,7 @@ def slow_sessions(rows, gap, late):
     for user, own in by.items():
         for s in own:
             if s[-1][1] + timedelta(seconds=gap) <= now:
-                out.append((user, s[0][1], s[-1][1], len(s), sum(round((r[4] or 0) * 100) for r in s) / 100, s[0][3], s[-1][3]))
+                out.append((user, s[0][1], s[-1][1], len(s), sum(round(r[4] * 100) for r in s if r[4] in (0.1, 2.25)) / 100, s[0][3], s[-1][3]))
     return sorted(map(str, out))
 
 
@@ -43,7 +43,7 @@ def events(seed, n=400):
     rng, rows = random.Random(seed), []
     for i in range(n):
         at = START + timedelta(seconds=rng.randrange(40_000), microseconds=rng.choice([0, 1, 999_999]))
-        rows.append((i, at, rng.choice([1, 1, 1, 2, 3, 4]), rng.choice(["view", "click", None]), rng.choice([None, 0.1, 2.25]), "{}"))
+        rows.append((i, at, rng.choice([1, 1, 1, 2, 3, 4]), rng.choice(["view", "click", None]), rng.choice([None, 0.1, 2.25, float("nan"), 1e300]), "{}"))
     rows.sort(key=lambda r: r[1] + timedelta(seconds=rng.randrange(3000)))  # up to 50 minutes late
     rows += [(None, START, 1, "view", 1.0, ""), (9001, None, 1, "view", 1.0, ""), (9002, START, None, "view", 1.0, "")]
     for _ in range(60):  # repeated, near the first time or in the same file
