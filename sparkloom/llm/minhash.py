@@ -50,6 +50,9 @@ FEW = 8
 #: Words of 64 bits in a set's bitmap.
 BITMAP = 16
 _BITMAP = [f"m{i}" for i in range(BITMAP)]
+#: Classes of shingles, by remainder, each with its smallest one among a set's rarest: equal ones tell at which shingle two sets meet.
+MEETINGS = 16
+_LEAST = [f"l{i}" for i in range(MEETINGS)]
 #: Ids up to which they are sent to every task in place of a shuffle of all texts: some 24 MB.
 SENT_IDS = 1 << 20
 _BLOCK = 2048
@@ -261,6 +264,11 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     template spreads stand last, so that texts which share nothing else meet nowhere. Two bounds, exact as well, are
     part of the join: only shingles that several components hold can be common to two components, and each bit that
     one bitmap has and the other lacks is a shingle that is not common.
+
+    Two sets of one family share most of their rarest shingles, but need to meet once. Where the smallest shingles of a
+    class are equal on both sides, that shingle is common, so they meet at the first such one only; sets without any
+    share few, and meet at each. What stays are the pairs that the bounds admit, about one row each; their number is the
+    data's: a family whose texts all lie just below the threshold of each other has as many as its size squared.
     """
     tokens = sets.select("row", F.col("component").alias("c"), "n_shingles", F.explode("shingles").alias("token"))
     shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("held"), F.min("c").alias("x"), F.max("c").alias("y")).filter("held > 1"), "shared")
@@ -268,7 +276,8 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     # shingles that no other document holds stand before all these
     rank = F.row_number().over(own.orderBy("held", "token")) + F.col("n_shingles") - F.count("*").over(own)
     first = tokens.join(shared, "token").withColumn("rank", rank).withColumn("common", F.count(F.when(F.col("x") != F.col("y"), 1)).over(own))
-    first = first.filter(f"x <> y and 100 * common >= {percent} * n_shingles and rank <= (({100 - percent} * n_shingles) div 100) + 1").select("token", "row", "common")
+    first = first.filter(f"x <> y and 100 * common >= {percent} * n_shingles and rank <= (({100 - percent} * n_shingles) div 100) + 1")
+    first = first.select("token", "row", "common", *(F.min(F.when(F.pmod("token", F.lit(MEETINGS)) == i, F.col("token"))).over(own).alias(c) for i, c in enumerate(_LEAST)))
     first = materialize(first.join(sets.drop("shingles"), "row").drop("row"), "prefixes")
     groups = first.groupBy("token").agg(F.min("component").alias("home"), F.max("component").alias("last"), F.count("*").alias("n")).filter("home <> last").drop("last")
     groups = materialize(groups, "tokens")
@@ -278,17 +287,26 @@ def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _across(left: DataFrame, right: DataFrame, key: str, percent: int, bounds: bool = False) -> DataFrame:
-    """Pairs (a, b, n), each once, of rows of one key in different components whose sizes, and bounds on what they have in common, admit the threshold."""
-    other = {"doc_id": "other", "component": "component_b", "n_shingles": "n_b", "common": "common_b"} | {m: f"{m}_b" for m in _BITMAP}
+def _met(left: DataFrame, right: DataFrame, key: str, percent: int, bounds: bool = False) -> DataFrame:
+    """The rows of `_across` before repeats are dropped."""
+    other = {"doc_id": "other", "component": "component_b", "n_shingles": "n_b", "common": "common_b"} | {m: f"{m}_b" for m in (*_BITMAP, *_LEAST)}
     right = right.select(key, *(F.col(c).alias(n) for c, n in other.items() if c in right.columns))
-    met = left.join(right, key).filter("component <> component_b").filter(f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)")
+    met = left.join(right, key).filter("component > component_b").filter(f"100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b)")
     if bounds:
         alone = " + ".join(f"bit_count({m} & ~{m}_b)" for m in _BITMAP)
         alone_b = " + ".join(f"bit_count({m}_b & ~{m})" for m in _BITMAP)
         enough = f"{100 + percent} * {{}} >= {percent} * (n_shingles + n_b)".format
+        met = met.filter(f"coalesce({', '.join(f'if({c} = {c}_b, {c}, null)' for c in _LEAST)}, {key}) = {key}")
         met = met.filter(enough("least(common, common_b)")).filter(enough(f"(n_shingles - ({alone}))")).filter(enough(f"(n_b - ({alone_b}))"))
-    return met.groupBy(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).agg(F.max("n").alias("n"))
+    return met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"), "n")
+
+
+def _across(left: DataFrame, right: DataFrame, key: str, percent: int, bounds: bool = False) -> DataFrame:
+    """Pairs (a, b, n), each once, of rows of one key in different components whose sizes, and bounds on what they have in common, admit the threshold.
+
+    left holds at least each key's rows outside its smallest component, right all: a pair is made from the side of the larger component.
+    """
+    return _met(left, right, key, percent, bounds).groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
 def _rest(members: DataFrame, long: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

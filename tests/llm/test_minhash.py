@@ -148,3 +148,28 @@ def test_rare_pairs_lose_nothing(spark):
     s = {r.doc_id: (r.component, set(r.shingles)) for r in sets.collect()}
     want = {(a, b) for a in s for b in s if a < b and s[a][0] != s[b][0] and 100 * len(s[a][1] & s[b][1]) >= 75 * len(s[a][1] | s[b][1])}
     assert len(want) > 50 and want <= got and len(got) < 3 * len(want) and all(a < b and s[a][0] != s[b][0] for a, b in got)
+
+
+def test_rare_pairs_meet_once(spark, monkeypatch):
+    """Texts of one family just below the threshold share most of their rarest shingles: the join makes about one row a pair, not one a shingle."""
+    from sparkloom.llm import minhash
+
+    base, rows = [f"b{i}" for i in range(400)], []
+    for g in range(60):
+        w = list(base)
+        for i in random.Random(g).sample(range(400), 7):
+            w[i] = f"e{g}x{i}"
+        rows.append((g, g, " ".join(w)))
+    schema = "doc_id long, component long, n_shingles long, shingles array<long>, " + ", ".join(f"{m} long" for m in minhash._BITMAP)
+    sets = spark.createDataFrame(rows, "doc_id long, component long, text string").mapInArrow(minhash._shingles(5), schema)
+    sets = minhash.materialize(sets.withColumn("row", minhash.F.monotonically_increasing_id()), "sets")
+    made, met = [], minhash._met
+
+    def note(*args, **more):
+        out = met(*args, **more)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_met", note)
+    pairs = minhash._rare_pairs(sets, 75).count()
+    assert pairs > 300 and made[0] <= 2 * pairs
