@@ -13,10 +13,9 @@ def _mass(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("decimal(19,0)")
 
 
-def turn(node: str, round_: int) -> Column:
-    """Does the node move in this round? Half of the nodes do, by their MD5, in the next round the others: no two neighbours swap for ever."""
-    upper = F.substring(F.md5(F.col(node).cast("string").cast("binary")), 1, 1) >= "8"
-    return upper if round_ % 2 else ~upper
+def upper(node: str) -> Column:
+    """The half of a node, by its MD5. In a round one half moves, in the next the other: no two neighbours swap for ever."""
+    return F.substring(F.md5(F.col(node).cast("string").cast("binary")), 1, 1) >= "8"
 
 
 def communities(edges: DataFrame, rounds: int = 6) -> DataFrame:
@@ -29,18 +28,26 @@ def communities(edges: DataFrame, rounds: int = 6) -> DataFrame:
     decides. Equal gains go to the smallest community, the own one first. A node alone goes to another that is alone
     only if that is smaller. Rounds end after `rounds`, or when neither half has moved. An empty table gives none.
 
+    Rounds work on numbers in place of the nodes' names, in the names' order, so that ties go alike. A round moves the links of half
+    of the nodes twice: to the communities of their other ends, and, summed, to the nodes.
     A hub's links are summed by (node, community) on the map side before any shuffle, and its choice is a maximum of
     these sums, also taken on the map side: no task gets a node's links. Each round's state is written, which cuts
     the lineage and lets Spark split hot keys in the joins with it.
     """
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1)
     plain = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), weight.cast("long").alias("w"))
-    once = plain.groupBy("a", "b").agg(F.sum("w").alias("w"))
-    both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
-    links = materialize(once.select(both.alias("e"), "w").select("e.node", "e.other", "w"), "links")
-    degrees = materialize(links.groupBy("node").agg(F.sum("w").alias("degree")), "degrees")
+    once = materialize(plain.groupBy("a", "b").agg(F.sum("w").alias("w")), "edges")
+    degrees = materialize(once.select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("degree")), "degrees")
     total = degrees.agg(F.sum(_mass("degree"))).first()[0]
-    state = materialize(degrees.select("node", "degree", F.col("node").alias("community")), "state")
+    # rows of a sorted table are numbered in their order, with gaps
+    nodes = materialize(degrees.orderBy("node").select("node", "degree", upper("node").alias("upper"), F.monotonically_increasing_id().alias("id")), "nodes")
+    numbered = once
+    for side in "ab":
+        numbered = numbered.join(nodes.select(F.col("node").alias(side), F.struct("id", "upper").alias(f"{side}_")), side)
+    ends = F.array(*(F.struct(F.col(f"{x}_.id").alias("node"), F.col(f"{x}_.upper").alias("upper"), F.col(f"{y}_.id").alias("other")) for x, y in ("ab", "ba")))
+    links = materialize(numbered.select(F.explode(ends).alias("e"), "w").select("e.*", "w"), "links")
+    discard(once, degrees)
+    state = nodes.select(F.col("id").alias("node"), "degree", "upper", F.col("id").alias("community"))
     still = 0
     for round_ in range(rounds if total else 0):
         moves = _moves(links, state, int(total), round_)
@@ -51,19 +58,21 @@ def communities(edges: DataFrame, rounds: int = 6) -> DataFrame:
                 break
             continue
         still = 0
-        new = materialize(state.join(moves, "node", "left").select("node", "degree", F.coalesce("target", "community").alias("community")), "state")
+        new = materialize(state.join(moves, "node", "left").select("node", "degree", "upper", F.coalesce("target", "community").alias("community")), "state")
         discard(state, moves)
         state = new
-    discard(links, degrees)
-    return state.select("node", "community")
+    discard(links)
+    name = lambda c: nodes.select(F.col("id").alias(c), F.col("node").alias(f"{c}_name"))
+    return state.select("node", "community").join(name("node"), "node").join(name("community"), "community").select(F.col("node_name").alias("node"), F.col("community_name").alias("community"))
 
 
 def _moves(links: DataFrame, state: DataFrame, total: int, round_: int) -> DataFrame:
     """node, target of the nodes that change their community in this round."""
     sums = materialize(state.groupBy("community").agg(F.sum("degree").alias("mass"), F.count("*").alias("members")), "masses")
-    mine = state.filter(turn("node", round_))
+    moving = F.col("upper") == bool(round_ % 2)
+    mine = state.filter(moving)
     of_other = state.select(F.col("node").alias("other"), F.col("community").alias("target"))
-    seen = links.filter(turn("node", round_)).join(of_other, "other").groupBy("node", "target").agg(F.sum("w").alias("w"))
+    seen = links.filter(moving).join(of_other, "other").select("node", "target", "w")
     seen = seen.unionByName(mine.select("node", F.col("community").alias("target"), F.lit(0).cast("long").alias("w")))  # the own one, linked or not
     seen = materialize(seen.groupBy("node", "target").agg(F.sum("w").alias("w")), "seen")
     own = mine.join(sums, "community").select("node", "degree", "community", F.col("members").alias("own_members"))

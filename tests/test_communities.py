@@ -74,3 +74,20 @@ def test_a_hub(spark):
 def test_empty(spark):
     assert communities(spark.createDataFrame([], "src int, dst int")).count() == 0
     assert communities(spark.createDataFrame([(1, 1), (None, 2)], "src int, dst int")).count() == 0
+
+
+def test_rounds_move_numbers(spark, monkeypatch):
+    """What a round writes holds no names: its rows keep their size, however long the names are."""
+    from sparkloom.operators import communities as c
+
+    kept, keep = {}, c.materialize
+
+    def note(df, name):
+        kept[name] = dict(df.dtypes)
+        return keep(df, name)
+
+    monkeypatch.setattr(c, "materialize", note)
+    rng = random.Random(3)
+    edges = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", 1) for _ in range(80)]
+    assert got(communities(spark.createDataFrame(edges, "src string, dst string, weight int"), 4)) == slow(edges, 4)
+    assert all("string" not in kept[name].values() for name in ("links", "seen", "moves", "state"))
