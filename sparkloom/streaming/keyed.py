@@ -24,69 +24,6 @@ def state_store(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
 
 
-_SPAN = "first long, last long, n long, cents long, first_type string, first_id long, last_type string, last_id long"
-SESSIONS = "user_id long, first long, last long, n_events long, cents long, first_type string, last_type string"
-
-
-class SessionFold(StatefulProcessor):
-    """Of a user: spans of events not further apart than the gap, each given out once the watermark has passed its end.
-
-    A new event joins the spans that it reaches, so that state is a row for each open span. One timer is set for the
-    earliest end. Repeated events must have been dropped.
-    """
-
-    def __init__(self, gap: int):
-        self.gap = gap  # in microseconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.spans = handle.getListState("spans", _SPAN)
-        self.alarm = handle.getValueState("alarm", "at long")
-
-    def _set(self, spans: list[tuple]) -> None:
-        """Keeps the spans, and one timer, for the earliest of their ends."""
-        self.spans.put(spans) if spans else self.spans.clear()
-        end = -(-(min(s[1] for s in spans) + self.gap) // 1000) if spans else None
-        was = self.alarm.get()[0] if self.alarm.exists() else None
-        if end == was:
-            return
-        if was is not None:
-            self.handle.deleteTimer(was)
-        if end is None:
-            self.alarm.clear()
-        else:
-            self.handle.registerTimer(end)
-            self.alarm.update((end,))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        spans = [tuple(s) for s in self.spans.get()]
-        for r in rows:
-            new = (r.at, r.at, 1, r.cents, r.event_type, r.event_id, r.event_type, r.event_id)
-            apart = []
-            for s in spans:
-                if new[0] - s[1] > self.gap or s[0] - new[1] > self.gap:
-                    apart.append(s)
-                    continue
-                a, b = (s, new) if (s[0], s[5]) < (new[0], new[5]) else (new, s)
-                y, z = (s, new) if (s[1], s[7]) < (new[1], new[7]) else (new, s)
-                new = (a[0], z[1], s[2] + new[2], s[3] + new[3], a[4], a[5], z[6], z[7])
-            spans = [*apart, new]
-        self._set(spans)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        self.alarm.clear()  # Spark removes the timer that rings
-        spans = [tuple(s) for s in self.spans.get()]
-        over = [s for s in spans if s[1] + self.gap <= now]
-        self._set([s for s in spans if s[1] + self.gap > now])
-        for s in sorted(over):
-            yield Row(user_id=key[0], first=s[0], last=s[1], n_events=s[2], cents=s[3], first_type=s[4], last_type=s[6])
-
-    def close(self) -> None:
-        pass
-
-
 def _named(found: DataFrame) -> DataFrame:
     """Times as timestamps, cents as a value."""
     times = (F.timestamp_micros(c).alias(n) for c, n in (("first", "first_ts"), ("last", "last_ts")))
@@ -99,7 +36,7 @@ def closed_sessions(events: DataFrame, gap: int = 1800, late: int = 7200) -> Dat
     A session ends where more than `gap` seconds pass without an event of the user; it is over once the watermark, `late`
     seconds behind the latest event of all, has passed the last event and the gap. Repeated event ids count once,
     equal times go by id, values are summed as whole cents. Of a stream, events behind the watermark are dropped; where
-    none are, the stream gives the rows that the batch gives, whatever the order of arrival. Events without id, time or
+    none are, the stream, by Spark's session windows without Python in its state, gives the rows that the batch gives, whatever the order of arrival. Events without id, time or
     user are left out, those without value, or with one that is no number of cents, add nothing.
     """
     rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.coalesce(F.round(F.col("value") * 100).try_cast("long"), F.lit(0)).alias("cents"))
@@ -107,7 +44,10 @@ def closed_sessions(events: DataFrame, gap: int = 1800, late: int = 7200) -> Dat
     if events.isStreaming:
         state_store(events.sparkSession)
         timed = rows.withWatermark("ts", f"{late} seconds").dropDuplicatesWithinWatermark(["event_id"]).withColumn("at", F.unix_micros("ts"))
-        return _named(timed.groupBy("user_id").transformWithState(SessionFold(gap * 1_000_000), SESSIONS, "append", "EventTime"))
+        order = F.struct("at", "event_id")
+        found = timed.groupBy(F.session_window("ts", f"{gap} seconds").alias("w"), "user_id").agg(
+            F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n_events"), F.sum("cents").alias("cents"), F.min_by("event_type", order).alias("first_type"), F.max_by("event_type", order).alias("last_type"))
+        return _named(found)
     now = F.unix_millis(F.max("ts")) - late * 1000
     once = materialize(rows.dropDuplicates(["event_id"]), "once")
     seen = once.agg(now.alias("now")).first().now

@@ -109,3 +109,10 @@ def test_empty(spark, tmp_path):
         batch = fold(spark.read.parquet(df))
         stream = available(fold(event_stream(spark, df)), "none", after=fold is closed_sessions)
         assert batch.count() == stream.count() == 0 and batch.columns == stream.columns
+
+
+def test_sessions_keep_no_python_state(spark, tmp_path):
+    """A call into Python for each user and micro-batch took most of the time of many users."""
+    files(spark, events(3), EVENTS, str(tmp_path / "in"), 1)
+    plan = closed_sessions(event_stream(spark, str(tmp_path / "in")))._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" not in plan and "session_window" in plan.lower()
