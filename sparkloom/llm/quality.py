@@ -37,6 +37,9 @@ CUTOFF = 0.6
 #: Ratings are graded 0 (toxic), 1 (of low quality), 2 (good).
 GRADES = 3
 
+#: Rows of the sample that are counted at once.
+_ROWS = 64
+
 #: Classes of bytes for shapes: upper, lower or beyond ASCII, digit, and each punctuation mark for itself.
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 65, 97, 97, 48
@@ -104,12 +107,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], sizes: dict[int, int] |
     size = np.bincount([r[2] for r in rows], minlength=GRADES)
     whole = np.array([(sizes or {}).get(g, size[g]) for g in range(GRADES)])
     weigh = whole / whole.sum() * len(rows) / np.maximum(size, 1)
-    common = np.bincount(np.concatenate([at for at, _, _ in rows]), minlength=BUCKETS) >= min(LEAST_DOCUMENTS, len(rows) // 100 + 1)
-    rows = [(at[common[at]], v[common[at]], y) for at, v, y in rows]
+    held = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(rows), _ROWS):
+        held += np.bincount(np.concatenate([at for at, _, _ in rows[i : i + _ROWS]]), minlength=BUCKETS)
+    common = held >= min(LEAST_DOCUMENTS, len(rows) // 100 + 1)
+    # one flat array of each, of the types that came: thousands of small wide ones took the driver some 170 MB more, which it then kept
+    grades, ends = [y for _, _, y in rows], [0, *np.cumsum([np.count_nonzero(common[at]) for at, _, _ in rows]).tolist()]
+    places, values = np.empty(ends[-1], rows[0][0].dtype), np.empty(ends[-1], rows[0][1].dtype)
+    for i, (at, v, _) in enumerate(rows):
+        places[ends[i] : ends[i + 1]], values[ends[i] : ends[i + 1]] = at[common[at]], v[common[at]]
     order = np.random.default_rng(11)
     for _ in range(PASSES):
-        for i in order.permutation(len(rows)):
-            at, v, y = rows[i]
+        for i in order.permutation(len(rows)).tolist():
+            at, v, y = places[ends[i] : ends[i + 1]].astype(np.int64), values[ends[i] : ends[i + 1]].astype(float), grades[i]
             du, dd = (x * weigh[y] for x in slopes(theta, y, float(w[at] @ v)))
             if y < GRADES - 1:
                 gt[y] += du * du
@@ -150,9 +160,25 @@ def learn(docs: DataFrame, ratings: DataFrame) -> Model:
     drawn = ratings.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < share * (1 << 20))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(drawn), "doc_id")  # about GRADES * PER_GRADE ids at most
     rows = rows.groupBy("doc_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    sample = rows.select(F.xxhash64("doc_id", "text").alias("key"), F.col("grade").cast("long").alias("y"), "text").mapInArrow(_prepare, "key long, y long, at array<int>, v array<float>").toArrow().sort_by("key")
-    at, v, y = sample.column("at").combine_chunks(), sample.column("v").combine_chunks(), sample.column("y").to_pylist()
-    return fit([(at[i].values.to_numpy().astype(np.int64), v[i].values.to_numpy().astype(float), y[i]) for i in range(len(y))], sizes)
+    sample = rows.select(F.xxhash64("doc_id", "text").alias("key"), F.col("grade").cast("long").alias("y"), "text").mapInArrow(_prepare, "key long, y long, at array<int>, v array<float>").toArrow()
+    rows = _views(sample)
+    del sample
+    model = fit(rows, sizes)
+    del rows
+    pa.default_memory_pool().release_unused()  # else the driver holds the sample's memory for all that follows
+    return model
+
+
+def _views(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Of (key, y, at, v), in the order of the keys: at, v, y, which lie in the table as it came."""
+    found = []
+    for batch in sample.to_batches():
+        keys, grades = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        cuts = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy())).tolist()
+        at, v = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+        found += [(keys[i], at[cuts[i] : cuts[i + 1]], v[cuts[i] : cuts[i + 1]], grades[i]) for i in range(len(keys))]
+    found.sort(key=lambda row: row[0])
+    return [row[1:] for row in found]
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
