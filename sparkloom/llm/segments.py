@@ -8,6 +8,9 @@ ids of the parts, each encoded by the library itself, are the text's. A table ke
 
 from __future__ import annotations
 
+import os
+from itertools import chain
+
 import numpy as np
 
 from .shared import mix
@@ -103,29 +106,33 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core: the library's threads for all of them cost twice the time
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.table, self.long = Table(), {}
 
-    def _by_library(self, segments: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.library.encode_batch([s.decode() for s in segments], add_special_tokens=False)]
+    def _by_library(self, segments: list[bytes]) -> list[list[int]]:
+        """Without the places of tokens in the text, which the library would work out besides."""
+        return [e.ids for e in self.library.encode_batch_fast([s.decode() for s in segments], add_special_tokens=False)]
 
     def _learn(self, raw: bytes, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Places of short segments that the table lacks, which then has them."""
-        whole = np.concatenate([keys, sizes[:, None].astype(np.uint64)], 1)
-        _, first, back = np.unique(whole.view([("", np.uint64)] * 4).ravel(), return_index=True, return_inverse=True)
-        ids = self._by_library([raw[a : a + n] for a, n in zip(starts[first].tolist(), sizes[first].tolist(), strict=True)])
-        counts = np.array([len(x) for x in ids], np.uint64)
-        at = self.table.keep(np.concatenate(ids)) + np.append(0, np.cumsum(counts)[:-1]).astype(np.int64)
-        places = sizes[first].astype(np.uint64) | counts << np.uint64(5) | at.astype(np.uint64) << np.uint64(16)
+        number: dict[bytes, int] = {}
+        back = np.array([number.setdefault(raw[a : a + n], len(number)) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        first = np.empty(len(number), np.int64)
+        first[back[::-1]] = np.arange(len(back))[::-1]
+        ids = self._by_library(list(number))
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = self.table.keep(np.fromiter(chain.from_iterable(ids), np.int32, counts.sum())) + np.append(0, np.cumsum(counts)[:-1])
+        places = sizes[first].astype(np.uint64) | counts.astype(np.uint64) << np.uint64(5) | at.astype(np.uint64) << np.uint64(16)
         self.table.put(keys[first], sizes[first], places)
-        return places[back.ravel()]
+        return places[back]
 
     def _long(self, raw: bytes, starts: list[int], sizes: list[int]) -> list[np.ndarray]:
         segments = [raw[a : a + n] for a, n in zip(starts, sizes, strict=True)]
         new = list(dict.fromkeys(s for s in segments if s not in self.long))
-        found = dict(zip(new, self._by_library(new), strict=True))
+        found = {s: np.array(x, np.int32) for s, x in zip(new, self._by_library(new), strict=True)}
         out = [found[s] if s in found else self.long[s] for s in segments]
         if len(self.long) + len(new) > LONG_KEPT:
             self.long.clear()
@@ -134,7 +141,9 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of rows of UTF-8: (ids, offsets of the rows in them)."""
-        places = np.unique(np.concatenate([cuts(data), offsets[:-1], offsets[-1:]])) if len(data) else np.zeros(1, np.int64)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[cuts(data)] = begins[offsets] = True
+        places = np.flatnonzero(begins)
         flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         a = 0
         while a < len(places) - 1:  # runs of segments of about STEP bytes, one at least

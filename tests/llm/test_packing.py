@@ -151,3 +151,25 @@ def test_a_long_text():
     ids, _ = e.encode(data, offsets)
     assert tracemalloc.get_traced_memory()[1] < 14 * len(data)
     assert len(ids) % 500_000 == 0
+
+
+def test_new_segments_take_one_core():
+    """A task has one core; the library's threads for all of them took as much again. In a process of its own, as the library may have been set up in this one."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys, time
+sys.path[:0] = {sys.path!r}
+import pyarrow as pa
+from sparkloom.llm import segments
+from sparkloom.llm.shared import utf8
+e, texts = segments.Encoder({PATH!r}), utf8(pa.array([" ".join(f"w{{i}}x{{i * 7919}}" for i in range(60_000))]))
+a, b = time.process_time(), time.thread_time()
+e.encode(*texts)
+print((time.process_time() - a) / (time.thread_time() - b))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 1.3
