@@ -14,7 +14,8 @@
    verbatim passages don't depend on a cosine, in which rarer words around a short one would outweigh it.
 4. A candidate is decided on the words around the window: their longest common subsequence with the whole passage
    must cover STRONG of it, or WEAK of it together with its answer (given, or else the passage's ANSWER
-   heaviest words) for at least half.
+   heaviest words) for at least half. Candidates around which too few of the passage's words occur at all, in
+   whatever order, cannot reach WEAK and are left out first, all of a step at once.
 
 Documents are never shuffled: blocks are applied one after the other to rows that flow through. What goes to
 the executors is PASS_BLOCKS blocks at a time, whose size is bounded by BLOCK_ITEMS and BLOCK_BYTES.
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +71,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows += batch.num_rows
         for a, b in steps(offsets):
             words, first = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            row = np.repeat(np.arange(b - a), np.diff(first))
-            total += np.bincount(np.unique(row * BUCKETS + _bucket(words)) & (BUCKETS - 1), minlength=BUCKETS)
+            wide = np.int32 if (b - a) * BUCKETS < 2**31 else np.int64  # narrow numbers sort faster
+            key = np.repeat(np.arange(b - a, dtype=wide) * wide(BUCKETS), np.diff(first))
+            key |= _bucket(words).astype(wide)
+            key.sort()
+            new = np.ones(len(key), bool)
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            total += np.bincount(key[new] & wide(BUCKETS - 1), minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["bucket", "n"])
 
@@ -148,6 +154,31 @@ def latent_space(matrix: DataFrame, rank: int = RANK, power: int = POWER) -> tup
     return buckets, basis
 
 
+class Step:
+    """What all blocks need of a step's rows: buckets of words with their weights; windows of WIDTH words, STRIDE apart, which do not cross rows; hashes of runs."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, idf: np.ndarray):
+        self.words, self.first, self.bucket = words, first, _bucket(words)
+        self.weight = idf[self.bucket]
+        self.energy = self.weight.astype(float) ** 2
+        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+            if b > a:
+                s = np.arange(a, max(b - WIDTH, a) + STRIDE, STRIDE)
+                s[-1] = max(b - WIDTH, a)
+                starts.append(s)
+                ends.append(np.minimum(s + WIDTH, b))
+        self.starts, self.ends = np.concatenate(starts), np.concatenate(ends)
+        whole = np.append(0, np.cumsum(self.energy))
+        self.total = whole[self.ends] - whole[self.starts]
+        self.runs: dict[int, np.ndarray] = {}
+
+    def run_hashes(self, size: int) -> np.ndarray:
+        if size not in self.runs:
+            self.runs[size] = window_hashes(self.words, size)
+        return self.runs[size]
+
+
 class Block:
     """What a task needs to find one block's pieces: their passages' words and answers; their latent vectors; the space; the weights.
 
@@ -165,6 +196,7 @@ class Block:
         self.basis = np.vstack([np.zeros((1, basis.shape[1])), basis]).astype(np.float32)
         place = {r: j for j, r in enumerate(self.rows)}
         self.item = np.array([place[r] for r, _, _ in pieces])
+        self.lengths = np.array([len(w) for w in words], np.int64)
         vectors = np.array([np.array(v) @ self.basis[self.row[at]] for _, at, v in pieces], np.float32)
         self.vectors = vectors / np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-6)
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by length: hashes, ascending; passages; a sieve of the hashes
@@ -176,11 +208,17 @@ class Block:
             sieve[hashes >> np.uint64(44)] = True
             self.seeds[size] = hashes[order], of[order], sieve
 
-    def shared_runs(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """How many words of each passage lie in each bucket of the block; made in the task, so that it isn't sent."""
+        return np.stack([np.bincount(self.row[_bucket(w)], minlength=len(self.basis)) for w in self.words]).astype(np.int32)
+
+    def shared_runs(self, step: Step) -> Iterator[tuple[int, int, int]]:
         """As candidates: runs of words that a passage has as well. Of a passage's runs in a row less than STRIDE apart the first stands for all."""
         last: dict[tuple[int, int], int] = {}
+        first = step.first
         for size, (hashes, of, sieve) in self.seeds.items():
-            found = window_hashes(words, size)
+            found = step.run_hashes(size)
             some = np.flatnonzero(sieve[found >> np.uint64(44)])
             lo, hi = np.searchsorted(hashes, found[some], "left"), np.searchsorted(hashes, found[some], "right")
             row = np.searchsorted(first, some, "right") - 1
@@ -191,45 +229,75 @@ class Block:
                         last[d, j] = s
                         yield s, s + size, j
 
-    def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(start of the window, its end, passage), by word number; windows do not cross rows."""
-        bucket = _bucket(words)
-        row, weight = self.row[bucket], self.idf[bucket]
-        energy = weight.astype(float) ** 2
-        whole, own = np.append(0, np.cumsum(energy)), np.append(0, np.cumsum(np.where(row > 0, energy, 0)))
-        starts, ends = [], []
-        for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
-            if b > a:
-                s = np.arange(a, max(b - WIDTH, a) + STRIDE, STRIDE)
-                s[-1] = max(b - WIDTH, a)
-                starts.append(s)
-                ends.append(np.minimum(s + WIDTH, b))
-        if not starts:
-            return
-        starts, ends = np.concatenate(starts), np.concatenate(ends)
-        total = whole[ends] - whole[starts]
+    def _near(self, step: Step, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of windows, their ends, passages: each passage that has a piece near the window, once. row: of the step's words, as in self.row."""
+        starts, ends, total = step.starts, step.ends, step.total
+        own = np.append(0, np.cumsum(np.where(row > 0, step.energy, 0)))
         hot = np.flatnonzero(own[ends] - own[starts] >= COSINE**2 * total)
+        found = [(np.zeros(0, np.int64),) * 3]
         for k in range(0, len(hot), 512):
             s, e, norm = starts[hot[k : k + 512]], ends[hot[k : k + 512]], np.sqrt(total[hot[k : k + 512]])
             at = s[:, None] + np.arange(WIDTH)
             inside = at < e[:, None]
-            at = np.minimum(at, len(words) - 1)
-            vectors = np.einsum("nw,nwk->nk", np.where(inside, weight[at], 0), self.basis[row[at]], optimize=True)
-            i, j = np.nonzero(vectors @ self.vectors.T >= COSINE * norm[:, None])
-            for key in np.unique(i * len(self.ids) + self.item[j]).tolist():
-                i, j = divmod(key, len(self.ids))
-                yield int(s[i]), int(e[i]), j
-
-    def find(self, words: np.ndarray, first: np.ndarray) -> list[dict[int, float]]:
+            at = np.minimum(at, len(row) - 1)
+            vectors = np.einsum("nw,nwk->nk", np.where(inside, step.weight[at], 0), self.basis[row[at]], optimize=True)
+            i, j = np.divmod(np.flatnonzero(vectors @ self.vectors.T >= COSINE * norm[:, None]), len(self.item))
+            j = self.item[j]
+            if len(self.ids) < len(self.item):  # passages of several pieces
+                i, j = np.divmod(np.unique(i * len(self.ids) + j), len(self.ids))
+            found.append((s[i], e[i], j))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(start of the window, its end, passage), by word number; windows do not cross rows."""
+        step = Step(words, first, self.idf)
+        yield from zip(*(x.tolist() for x in self._near(step, self.row[step.bucket])), strict=True)
+
+    def _around(self, first: np.ndarray, s: np.ndarray, e: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of candidates: the row, the first word and the end of the words on which they are decided."""
+        d = np.searchsorted(first, s, "right") - 1
+        return d, np.maximum(first[d], s - self.lengths[j]), np.minimum(first[d + 1], e + self.lengths[j])
+
+    def present(self, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many words of passage j occur among the words from lo to hi, by buckets: no less than their longest common subsequence."""
+        hits = np.flatnonzero(row)
+        at = row[hits]
+        order = np.argsort(at.astype(np.uint16) if len(self.basis) <= 1 << 16 else at, kind="stable")  # of 16 bits by radix
+        before = np.full(len(hits), -1)  # where the bucket occurred last
+        same = at[order[1:]] == at[order[:-1]]
+        before[order[1:][same]] = hits[order[:-1][same]]
+        a, b = np.searchsorted(hits, lo), np.searchsorted(hits, hi)
+        out = self.counts[j, 0].astype(np.int64)  # words in other blocks' pieces only, which may all be there
+        ends = np.cumsum(b - a)
+        k = 0
+        while k < len(j):  # some 4 MB of words at a time, or one candidate
+            m = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + (1 << 17), "right")))
+            n = b[k:m] - a[k:m]
+            of = np.repeat(np.arange(k, m), n)
+            place = np.arange(len(of)) + np.repeat(a[k:m] - (np.cumsum(n) - n), n)
+            once = before[place] < lo[of]
+            of, place = of[once], place[once]
+            out[k:m] += np.bincount(of - k, weights=self.counts[j[of], at[place]], minlength=m - k).astype(np.int64)
+            k = m
+        return out
+
+    def find(self, step: Step) -> list[dict[int, float]]:
         """Of each row: passages found, with the share of the passage that the longest common subsequence covers."""
+        words, first = step.words, step.first
         out: list[dict[int, float]] = [{} for _ in range(len(first) - 1)]
         masks: dict[int, dict[int, int]] = {}
-        for s, e, j in chain(self.shared_runs(words, first), self.candidates(words, first)):
-            d = int(np.searchsorted(first, s, "right")) - 1
+        row = self.row[step.bucket]
+        runs = np.array(list(self.shared_runs(step)), np.int64).reshape(-1, 3).T
+        s, e, j = (np.append(x, y) for x, y in zip(runs, self._near(step, row), strict=True))
+        some = self.lengths[j] > 0
+        s, e, j = s[some], e[some], j[some]
+        d, lo, hi = self._around(first, s, e, j)
+        some = np.flatnonzero(self.present(row, lo, hi, j) / self.lengths[j] >= WEAK)
+        for d, lo, hi, j in zip(*(x[some].tolist() for x in (d, lo, hi, j)), strict=True):
             passage = self.words[j]
-            if out[d].get(j, 0) >= 1 or not len(passage):
+            if out[d].get(j, 0) >= 1:
                 continue
-            around = words[max(first[d], s - len(passage)) : min(first[d + 1], e + len(passage))].tolist()
+            around = words[lo:hi].tolist()
             if j not in masks:
                 masks[j] = {}
                 for i, w in enumerate(passage.tolist()):
@@ -260,8 +328,9 @@ def _apply(docs: DataFrame, blocks: list[Block], keep: list[str]) -> DataFrame:
                 part = batch.slice(a, b - a)
                 words, first = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ids, best, rows = (part.column(n + k).to_pylist() for k in (1, 2, 3))
+                step = Step(words, first, blocks[0].idf) if blocks else None
                 for block in blocks:
-                    for d, new in enumerate(block.find(words, first)):
+                    for d, new in enumerate(block.find(step)):
                         for j, share in new.items():
                             best[d] = max(best[d], share)
                             if block.rows[j] not in rows[d]:  # not yet found by another block's piece

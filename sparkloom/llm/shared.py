@@ -99,13 +99,25 @@ _LETTER[[b for b in range(33, 127) if not chr(b).isalnum()]] = False
 
 def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words without ASCII punctuation at their ends; a word of punctuation alone is empty, at its end."""
-    at = np.flatnonzero(_LETTER[data])
-    if not len(at):
-        return ends.copy(), ends.copy()
-    lo = at[np.minimum(np.searchsorted(at, starts), len(at) - 1)]
-    lo = np.where((lo < starts) | (lo > ends), ends, lo)
-    hi = at[np.maximum(np.searchsorted(at, ends) - 1, 0)] + 1
-    return lo, np.where((hi > lo) & (hi <= ends), hi, lo)
+    lo, hi = starts.copy(), ends.copy()
+    odd = np.flatnonzero(~(_LETTER[data[starts]] & _LETTER[data[ends - 1]]))  # most words have nothing to lose
+    for _ in range(4):  # and most of the others few marks
+        odd = odd[lo[odd] < hi[odd]]
+        left, right = ~_LETTER[data[lo[odd]]], ~_LETTER[data[hi[odd] - 1]]
+        lo[odd[left]] += 1
+        right &= lo[odd] < hi[odd]
+        hi[odd[right]] -= 1
+        odd = odd[left | right]
+        if not len(odd):
+            break
+    else:
+        at = np.append(np.flatnonzero(_LETTER[data]), len(data))
+        lo[odd] = np.minimum(at[np.searchsorted(at, lo[odd])], hi[odd])
+        odd = odd[lo[odd] < hi[odd]]
+        hi[odd] = at[np.searchsorted(at, hi[odd]) - 1] + 1
+    none = lo >= hi
+    lo[none] = hi[none] = ends[none]
+    return lo, hi
 
 
 #: Bytes from which on a span gets a second hash: a polynomial modulo 2**64 has structured collisions (Thue-Morse words), from some 500 letters on.
