@@ -1,6 +1,8 @@
+import random
+
 import pyarrow as pa
 
-from sparkloom.llm.shared import BATCH_BYTES, bound_batches, span_hashes, utf8
+from sparkloom.llm.shared import BATCH_BYTES, bound_batches, span_hashes, trimmed, utf8, word_bounds
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -40,3 +42,17 @@ def test_such_words_are_not_linked_nor_removed(spark):
     docs = spark.createDataFrame([(1, " ".join([a] * 35)), (2, " ".join([b] * 35))], "doc_id long, text string")
 
     assert all(r.n_removed == 0 for r in substring_dedup.remove_repeats(docs).collect())
+
+
+def test_trimmed_against_a_slow_version():
+    """Words without marks, with a few, with more than are looked at one by one, and of marks alone."""
+    rng = random.Random(61)
+    parts = ["a", "Zb", "é", "don't", ".", ",,", "-" * 9, "(" * 5, " ", "  "]
+    for _ in range(500):
+        data, offsets = utf8(pa.array(["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(4)]))
+        starts, ends, _ = word_bounds(data, offsets)
+        marks = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+        for s, e, lo, hi in zip(*(x.tolist() for x in (starts, ends, *trimmed(data, starts, ends))), strict=True):
+            word = data[s:e].tobytes()
+            left = s + len(word) - len(word.lstrip(marks))
+            assert (lo, hi) == ((left, left + len(word.strip(marks))) if word.strip(marks) else (e, e))
