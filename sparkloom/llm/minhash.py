@@ -55,7 +55,8 @@ MEETINGS = 16
 _LEAST = [f"l{i}" for i in range(MEETINGS)]
 #: Ids up to which they are sent to every task in place of a shuffle of all texts: some 24 MB.
 SENT_IDS = 1 << 20
-_BLOCK = 2048
+#: Numbers in a temporary array of a sampler: 1 to 4 MB.
+_ARRAY = 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -75,7 +76,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
 
 
 class Sampler:
-    """MinHash samples, band keys and odd sketches from sets of 64-bit hashes."""
+    """MinHash samples, band keys and odd sketches from sets of 64-bit hashes, in portions: temporary arrays have about _ARRAY numbers."""
 
     def __init__(self, bands: int = BANDS, rows: int = ROWS, bits: int = BITS):
         self.bands, self.rows, self.bits = bands, rows, bits
@@ -87,21 +88,32 @@ class Sampler:
 
     def samples(self, sets: list[np.ndarray]) -> np.ndarray:
         out = np.full((len(sets), self.bands * self.rows), 2**32 - 1, np.uint32)
+        block = max(1, _ARRAY // out.shape[1])
         for row, s in zip(out, sets, strict=True):
             x = (s >> np.uint64(32)).astype(np.uint32)
-            for at in range(0, len(x), _BLOCK):
-                np.minimum(row, (x[None, at : at + _BLOCK] * self.multipliers).min(axis=1), out=row)
+            for at in range(0, len(x), block):
+                np.minimum(row, (x[None, at : at + block] * self.multipliers).min(axis=1), out=row)
         return out
 
     def keys(self, samples: np.ndarray) -> np.ndarray:
-        cubes = samples.astype(np.uint64).reshape(len(samples), self.bands, self.rows)
-        return mix((cubes * self.weights).sum(axis=2) + self.salts).view(np.int64)
+        out = np.empty((len(samples), self.bands), np.int64)
+        for rows in self._portions(samples):
+            cubes = samples[rows].astype(np.uint64).reshape(-1, self.bands, self.rows)
+            out[rows] = mix((cubes * self.weights).sum(axis=2) + self.salts).view(np.int64)
+        return out
 
     def sketches(self, samples: np.ndarray) -> np.ndarray:
-        place = (mix(samples.astype(np.uint64) + self.places) % np.uint64(self.bits)).astype(np.int64)
-        place += np.arange(len(samples))[:, None] * self.bits
-        odd = np.bincount(place.ravel(), minlength=len(samples) * self.bits).reshape(len(samples), self.bits) & 1
-        return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+        out = np.empty((len(samples), self.bits // 64), np.int64)
+        for rows in self._portions(samples):
+            place = (mix(samples[rows].astype(np.uint64) + self.places) % np.uint64(self.bits)).astype(np.int64)
+            place += np.arange(len(place))[:, None] * self.bits
+            odd = np.bincount(place.ravel(), minlength=len(place) * self.bits).reshape(len(place), self.bits) & 1
+            out[rows] = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+        return out
+
+    def _portions(self, samples: np.ndarray) -> Iterator[slice]:
+        step = max(1, _ARRAY // max(self.bits, self.bands * self.rows))
+        return (slice(at, at + step) for at in range(0, len(samples), step))
 
 
 def _profiles(words: int):

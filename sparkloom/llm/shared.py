@@ -11,17 +11,24 @@ from pyspark.sql import SparkSession
 from sparkloom.sources.tables import discard, materialize  # noqa: F401
 from sparkloom.sources.tables import run_folder as shared_folder  # noqa: F401
 
-#: Text handed to one numpy step, in bytes: keeps temporary arrays within a few dozen MB. A longer document is a step of its own.
-STEP_BYTES = 1 << 20
+#: Text handed to one numpy step, in bytes: keeps temporary arrays within some 12 MB. A longer document is a step of its own.
+STEP_BYTES = 1 << 18
 
 #: Rows that Spark hands to a Python worker at once, in bytes. Spark's own bound of 64 MB is held several times
-#: over, by the JVM and by the worker, for each core.
-BATCH_BYTES = 4 << 20
+#: over, by the JVM and by the worker, for each core. Buffers of a batch of this size fit the chunks that the JVM's
+#: pool keeps and uses again; larger ones are allocated one by one outside its heap, which leaves gaps that add up.
+BATCH_BYTES = 1 << 20
+
+#: Rows that a scan of Parquet decodes at once. Spark's own 4,096 texts are one array of 16 to 32 MB a task, for which
+#: the JVM has to find room in one piece, and so takes a larger heap.
+READ_ROWS = 512
+
 
 def bound_batches(spark: SparkSession) -> None:
-    """Sets the session's bound on Arrow batches to BATCH_BYTES where it has none of its own. A longer row is a batch by itself."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Sets the session's bounds on Arrow batches to BATCH_BYTES and on those of scans to READ_ROWS where it has none of its own. A longer row is a batch by itself."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

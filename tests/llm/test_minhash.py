@@ -173,3 +173,30 @@ def test_rare_pairs_meet_once(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_met", note)
     pairs = minhash._rare_pairs(sets, 75).count()
     assert pairs > 300 and made[0] <= 2 * pairs
+
+
+def test_samplers_temporary_arrays_are_bounded():
+    """The longer sketches of a step's sets, against one set at a time; all at once took arrays of 32 MB and more."""
+    import tracemalloc
+
+    import numpy as np
+
+    from sparkloom.llm.minhash import FINE, Sampler
+
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (0, 1, 5000, *rng.integers(1, 60, 509).tolist())]
+    sampler = Sampler(*FINE)
+    tracemalloc.start()
+    try:
+        samples = sampler.samples(sets)
+        keys, sketches = sampler.keys(samples), sampler.sketches(samples)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 24 << 20
+    for i in (0, 1, 2, 3, 63, 64, 65, 511):
+        x = (sets[i] >> np.uint64(32)).astype(np.uint32)
+        one = np.append((x[None] * sampler.multipliers), np.full((2000, 1), 2**32 - 1, np.uint32), axis=1).min(axis=1)
+        assert samples[i].tolist() == one.tolist()
+        assert keys[i].tolist() == sampler.keys(one[None])[0].tolist() and sketches[i].tolist() == sampler.sketches(one[None])[0].tolist()
+    assert Sampler().keys(np.zeros((0, 250), np.uint32)).shape == (0, 50) and Sampler().sketches(np.zeros((0, 250), np.uint32)).shape == (0, 16)

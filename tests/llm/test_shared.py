@@ -20,6 +20,40 @@ def test_batches_are_bounded_only_where_the_session_sets_nothing(spark):
         spark.conf.set(KEY, before) if before else spark.conf.unset(KEY)
 
 
+def test_scans_are_bounded_only_where_the_session_sets_nothing(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        bound_batches(spark)
+        assert int(spark.conf.get(key)) <= 1024
+        spark.conf.set(key, "4096")
+        bound_batches(spark)
+        assert spark.conf.get(key) == "4096"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_steps_of_texts_keep_temporary_arrays_small():
+    """Words and shingles of a batch of texts: some 50 bytes for each byte of a step, not of the batch."""
+    import tracemalloc
+
+    import numpy as np
+
+    from sparkloom.llm.minhash import _profiles
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(("alpha", "beta", "gamma", "delta")) + str(rng.randrange(999)) for _ in range(120)) for _ in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1200)), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(x.num_rows for x in _profiles(5)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 1200 and most < 32 << 20
+
+
 def thue_morse(a, b, n):
     return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
 
